@@ -1,9 +1,26 @@
-"""Reading the given tables."""
+"""Reading the given tables, and sending this package to the executors."""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Executors import this package from a copy that Spark sends them, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SENT:
+        package = Path(__file__).resolve().parents[1]
+        where = tempfile.mkdtemp(prefix="spark-package-", dir="/tmp")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{where}/{package.name}", "zip", package.parent, package.name))
+        _SENT.add(app)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

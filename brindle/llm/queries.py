@@ -53,4 +53,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_token_counts, op6_language_id, op7_packing, op10_ngram_jaccard_join)}
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_html_extraction, op3_quality_rules, op4_url_filters, op5_token_counts, op6_language_id, op7_packing, op10_ngram_jaccard_join)
+}

@@ -59,7 +59,13 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.suffix_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_html_extraction, op3_quality_rules, op4_url_filters, op5_token_counts, op6_language_id, op7_packing, op10_ngram_jaccard_join)
+    for f in (op2_html_extraction, op3_quality_rules, op4_url_filters, op5_token_counts, op6_language_id, op7_packing, op8_suffix_array_dedup, op10_ngram_jaccard_join)
 }

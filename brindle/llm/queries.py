@@ -65,7 +65,17 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.pii import pseudonymized
+
+    done = pseudonymized(table(spark, sf_dir, "documents"))
+    return done.select("__row.doc_id", F.col("__text").alias("text"), F.col("__n").alias("n_replaced"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_html_extraction, op3_quality_rules, op4_url_filters, op5_token_counts, op6_language_id, op7_packing, op8_suffix_array_dedup, op10_ngram_jaccard_join)
-}
+    for f in (
+        op2_html_extraction, op3_quality_rules, op4_url_filters, op5_token_counts, op6_language_id, op7_packing, op8_suffix_array_dedup, op9_pii,
+        op10_ngram_jaccard_join,
+    )
+}

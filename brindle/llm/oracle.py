@@ -50,4 +50,22 @@ listed AS (SELECT DISTINCT canonical FROM c WHERE own = 'block' AND canonical IS
 SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c
 """
 
-SQL = {"op3_quality_rules": OP3, "op4_url_filters": OP4}
+OP1 = r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT kind, id, len(w) AS n, p, w[p + 1:p + 5] AS g FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM words WHERE len(w) >= 5)),
+items AS (SELECT id AS item_id, n, p AS q, g FROM s WHERE kind = 'i'),
+docs AS (SELECT id AS doc_id, n AS dn, p, g FROM s WHERE kind = 'd' AND id IN (SELECT DISTINCT a.id FROM s a JOIN items USING (g) WHERE a.kind = 'd')),
+windows AS (SELECT DISTINCT doc_id, n, greatest(0, least(p - q, dn - n)) AS start FROM docs JOIN items USING (g)),
+wide AS (SELECT DISTINCT doc_id, item_id, n, start FROM windows JOIN (SELECT DISTINCT item_id, n FROM items) USING (n)),
+inside AS (SELECT doc_id, n, start, g, count(*) AS c FROM windows JOIN docs USING (doc_id) WHERE p >= start AND p < start + n - 4 GROUP BY ALL),
+sizes AS (SELECT doc_id, n, start, sum(c) AS size FROM inside GROUP BY ALL),
+own AS (SELECT item_id, n, g, count(*) AS c FROM items GROUP BY ALL),
+own_size AS (SELECT item_id, sum(c) AS size FROM own GROUP BY ALL),
+both_ AS (SELECT doc_id, item_id, n, start, sum(least(inside.c, own.c)) AS both_ FROM inside JOIN own USING (n, g) GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, both_, sizes.size + own_size.size - both_ AS all_ FROM both_ JOIN sizes USING (doc_id, n, start) JOIN own_size USING (item_id)),
+good AS (SELECT doc_id, item_id, start, ((100 * both_) // all_)::BIGINT AS similarity FROM scored WHERE 100 * both_ >= 80 * all_)
+SELECT doc_id, item_id, start::BIGINT AS start, similarity FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+SQL = {"op1_decontamination": OP1, "op3_quality_rules": OP3, "op4_url_filters": OP4}

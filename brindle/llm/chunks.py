@@ -1,18 +1,21 @@
 """Tokenizing by chunks between spaces, for tokenizers that drop white space.
 
-Where no token spans white space, the ids of a text are those of its chunks, one after the other; a chunk seen before
-is a lookup. The cache lives as long as its Python worker and is bounded. Tokenizers that keep white space must use
-whole=True, which encodes each text at once.
+Where no token spans white space, the ids of a text are those of its chunks, one after the other; a chunk seen before is a
+lookup. The cache lives as long as its Python worker and has two generations: when the younger is full it becomes the older, and
+what is still in use moves up again. Of new chunks, trailing punctuation is looked up apart, and plain words are encoded many
+at a time, to be told apart by the ids that end a word. Tokenizers that keep white space cannot be used here.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 64  # chunks kept by a worker, and the longest of them
+GENERATION, LONGEST = 300_000, 64  # chunks of a generation, characters of a chunk that is kept
+JOINED = 64  # plain words encoded at once
 _OPEN: dict[str, Chunks] = {}
 
 
@@ -28,47 +31,80 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ids: dict[str, bytes] = {"": b""}
-        self.lengths: dict[str, int] = {"": 0}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for k in range(0, len(texts), 4096):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+        for k in range(0, len(texts), 1024):
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+        return out
+
+    def encode(self, chunks: list[str]) -> dict[str, bytes]:
+        """Little-endian unsigned 32-bit ids of each chunk."""
+        out: dict[str, bytes] = {}
+        plain = [c for c in chunks if c.isalpha() and len(c) <= LONGEST] if self.ends is not None else []
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) == len(group):
+                raw = ids.tobytes()
+                at = [0, *cuts.tolist()]
+                out.update((c, raw[a:b]) for c, a, b in zip(group, at, at[1:], strict=False))
+        rest = [c for c in chunks if c not in out]
+        out.update((c, ids.tobytes()) for c, ids in zip(rest, self._encoded(rest), strict=True))
         return out
 
-    def _lookup(self, cache: dict, words: list[list[str]], value):
-        """A function from chunk to value, for the chunks of words."""
-        new = list({w for ws in words for w in ws if w not in cache})
-        if not new:
-            return cache.__getitem__
-        found = dict(zip(new, map(value, self.encode(new)), strict=True))
-        if len(cache) + len(new) <= CACHE_CHUNKS:
-            cache.update((w, v) for w, v in found.items() if len(w) <= CACHE_CHARS)
-            return _Both(found, cache).__getitem__
-        lookup = _Both(found, dict(cache)).__getitem__  # this batch still needs what the cache forgets now
-        cache.clear()
-        cache.update(list((w, v) for w, v in found.items() if len(w) <= CACHE_CHARS)[: CACHE_CHUNKS // 2])
-        cache[""] = value([])
-        return lookup
+    def lookup(self, words: list[list[str]]) -> dict[str, bytes]:
+        """The ids of all chunks in words, and perhaps of others."""
+        young, old = self.young, self.old
+        unseen = {w for ws in words for w in ws if w not in young}
+        if not unseen:
+            return young
+        found = {w: old[w] for w in unseen if w in old}
+        new = [w for w in unseen if w not in found]
+        parts = {}
+        for w in new:
+            core = w.rstrip(".,;:!?")
+            if core != w and core and core[-1].isalpha():
+                parts[w] = core, w[len(core) :]
+        known = lambda w: young.get(w) or found.get(w) or old.get(w)
+        wanted = {x for p in parts.values() for x in p if not known(x)} | {w for w in new if w not in parts}
+        made = self.encode(list(wanted))
+        whole = lambda x: made[x] if x in made else known(x)
+        found |= made
+        found.update((w, whole(a) + whole(b)) for w, (a, b) in parts.items())
+        kept = {w: v for w, v in found.items() if len(w) <= LONGEST}
+        if len(young) + len(kept) > GENERATION:
+            self.old, self.young = young, {"": b""} | kept
+        else:
+            young.update(kept)
+        if len(kept) == len(found) and self.young is young:
+            return young
+        return _Both(found, young)
 
     def ids_of(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [split(t or "") for t in texts]
-        known = self._lookup(self.ids, words, lambda ids: np.asarray(ids, "<u4").tobytes())
+        known = self.lookup(words).__getitem__
         return [b"".join(map(known, ws)) for ws in words]
 
     def lengths_of(self, texts: Iterable[str | None], table: dict[str, int]) -> list[int]:
         """Numbers of ids: from table, else from the cache of this worker."""
         words = [split(t or "") for t in texts]
         rest = [[w for w in ws if w not in table] for ws in words]
-        known = self._lookup(self.lengths, rest, len)
+        known = self.lookup(rest).__getitem__
         first = table.get
-        return [sum(map(known, r)) + sum(first(w, 0) for w in ws) for ws, r in zip(words, rest, strict=True)]
+        return [sum(map(len, map(known, r))) // 4 + sum(first(w, 0) for w in ws) for ws, r in zip(words, rest, strict=True)]
 
 
 class _Both(dict):
-    """What was just found, then the cache."""
+    """What was just found, then the generation that was young."""
 
     def __init__(self, found: dict, cache: dict):
         super().__init__(found)

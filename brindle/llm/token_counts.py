@@ -74,7 +74,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text). tokenizer: path of a file for the library
     tokenizers whose pre-tokenizer drops white space."""
     chunks = frequent_chunks(docs)
-    lengths = np.array([len(x) for x in opened(tokenizer).encode(chunks)], "<u2")
+    ids = opened(tokenizer).encode(chunks)
+    lengths = np.array([len(ids[w]) // 4 for w in chunks], "<u2")
     packed = docs.sparkSession.sparkContext.broadcast(("\0".join(chunks).encode("utf-8", "surrogatepass"), lengths.tobytes()))
     key = uuid.uuid4().hex
 

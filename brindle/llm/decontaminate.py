@@ -26,12 +26,16 @@ SEND_ROWS = 2_000_000  # shingles of all items, at most sent to all executors
 
 
 def _shingled(df: DataFrame, id_: str) -> DataFrame:
-    """id, __n words, __h: a hash for each shingle, in order."""
+    """id, __n words, __h: a hash for each shingle, in order; null without one.
+
+    Neither a filter on __h nor a plain explode of it may follow: Spark would push a condition that holds all of __h, with the words
+    split anew for each element, below the projections. posexplode_outer has no such condition.
+    """
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     df = df.where(f"{id_} IS NOT NULL").select(id_, words.alias("__w"))
     n, word = F.size("__w"), lambda i: F.get("__w", i)
     hashes = F.transform(F.sequence(F.lit(0), n - SIZE), lambda i: F.xxhash64(*[word(i + k) for k in range(SIZE)]))
-    return df.where(n >= SIZE).select(id_, n.alias("__n"), hashes.alias("__h"))
+    return df.select(id_, n.alias("__n"), F.when(n >= SIZE, hashes).alias("__h"))
 
 
 def _weighted(h: Column) -> Column:
@@ -64,11 +68,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the most similar window, of those the first. docs: doc_id, text; benchmark: item_id, text."""
     from brindle.llm.storage import materialize
 
-    items = _shingled(benchmark, "item_id").select("item_id", F.col("__n").alias("n"), F.col("__h").alias("h"))
-    anchors = materialize(items.select("n", F.posexplode("h").alias("q", "key")).distinct(), "item-shingles")
+    items = materialize(_shingled(benchmark, "item_id").select("item_id", F.col("__n").alias("n"), F.col("__h").alias("h")), "items").where("h IS NOT NULL")
+    anchors = materialize(items.select("n", F.posexplode_outer("h").alias("q", "key")).where("key IS NOT NULL").distinct(), "item-shingles")
     n_anchors = anchors.count()
 
-    places = _shingled(docs, "doc_id").select("doc_id", "__n", "__h", F.posexplode("__h").alias("p", "key"))
+    places = _shingled(docs, "doc_id").select("doc_id", "__n", "__h", F.posexplode_outer("__h").alias("p", "key"))
     hits = places.join(_small(anchors, n_anchors), "key")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("__n") - F.col("n")))
     hits = hits.select("doc_id", "n", start.alias("start"), "__n", "__h")

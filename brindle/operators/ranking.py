@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokenize
@@ -58,11 +58,13 @@ def resolve_mode(mode: str, dense: bool, image: bool, reranker: bool) -> str:
     return mode
 
 
+def _at_most(k: int):
+    return lambda r: r <= k
+
+
 def metrics(ranked: DataFrame, gold: DataFrame, ks=KS) -> DataFrame:
     """query_id, mrr, hit_k, recall_k, ndcg_k of queries that have gold. ranked: query_id, rank, chunk_id; gold: query_id, chunk_id."""
     first = ranked.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    from pyspark.sql import Window
-
     first = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     gold = gold.distinct()
     size = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
@@ -71,7 +73,7 @@ def metrics(ranked: DataFrame, gold: DataFrame, ks=KS) -> DataFrame:
     gain = lambda ranks: F.aggregate(ranks, F.lit(0.0), lambda a, r: a + 1 / F.log2(r + F.lit(1.0)))
     out = [F.coalesce(1 / F.array_min("ranks"), F.lit(0.0)).alias("mrr")]
     for k in ks:
-        within = F.filter("ranks", lambda r, k=k: r <= k)
+        within = F.filter("ranks", _at_most(k))
         ideal = gain(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n_gold").cast("int"))))
         out += [(F.size(within) > 0).cast("double").alias(f"hit_{k}"), (F.size(within) / F.col("n_gold")).alias(f"recall_{k}"), F.round(gain(within) / ideal, PLACES).alias(f"ndcg_{k}")]
     return rows.select("query_id", *out)

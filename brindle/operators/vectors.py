@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.binding import let
 from brindle.operators.lexical import PLACES, top
 
 
@@ -25,7 +26,7 @@ def valid(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Of length 1; null where not valid."""
-    return F.when(valid(v), F.transform(v, lambda x: x.cast("double") / norm(v)))
+    return F.when(valid(v), let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def dot(u: Column, v: Column) -> Column:
@@ -53,4 +54,4 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
         for batch in batches:
             yield pd.Series([np.bincount([zlib.crc32(t.encode()) % size for t in ts], minlength=size).astype(np.float32) if len(ts) else np.zeros(size, np.float32) for ts in batch])
 
-    return encode(tokens)
+    return encode.asNondeterministic()(tokens)  # so that no condition is pushed down with a copy of it

@@ -45,13 +45,24 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, on: list[str] | No
     return top(pairs.select("query_id", "chunk_id", F.round(dot(F.col("__v"), F.col("__q")), PLACES).alias("score")), k)
 
 
-def hashed_embedding(tokens: Column, size: int = 64) -> Column:
-    """The default text embedding: counts of hashed tokens, by Arrow batches. Its fingerprint is `hashed-tokens-{size}`. A model that is
-    loaded once a worker takes its place as another iterator UDF from tokens or text to array<float>."""
+def hashed_tokens(size: int = 64):
+    """The default text model: counts of hashed tokens. Its fingerprint is `hashed-tokens-{size}`. A real model is loaded where the returned
+    function is first called in a worker."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([np.bincount([zlib.crc32(t.encode()) % size for t in ts], minlength=size).astype(np.float32) if len(ts) else np.zeros(size, np.float32) for ts in batch])
+    def encode(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ts: np.bincount([zlib.crc32(t.encode()) % size for t in ts], minlength=size).astype(np.float32) if len(ts) else np.zeros(size, np.float32))
 
-    return encode.asNondeterministic()(tokens)  # so that no condition is pushed down with a copy of it
+    return encode
+
+
+def embedded(df: DataFrame, key: str, tokens: Column, encode=None) -> DataFrame:
+    """key and vector (array<float>) of each row, by Arrow batches. As an operator of its own the model runs once a row: no condition on
+    vectors is pushed below it with a copy of the call."""
+    encode = encode or hashed_tokens()
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "vector": encode(b["__tokens"])})
+
+    return df.select(key, tokens.alias("__tokens")).mapInPandas(run, f"{key} {kind}, vector array<float>")

@@ -64,8 +64,8 @@ def jn04_tk02_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 def _embedded(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """UD-01: dense search over the default text embedding."""
-    c = views.chunks(spark, sf).select("chunk_id", vectors.hashed_embedding(tokenize(F.concat_ws("\n", "section", "content"))).alias("vector"))
-    q = views.questions(spark, sf).select("query_id", vectors.hashed_embedding(tokenize(F.col("question"))).alias("vector"))
+    c = vectors.embedded(views.chunks(spark, sf), "chunk_id", tokenize(F.concat_ws("\n", "section", "content")))
+    q = vectors.embedded(views.questions(spark, sf), "query_id", tokenize(F.col("question")))
     return vectors.dense_top(c, q, k)
 
 

@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from brindle.functions.text import MISSING_FORMULA, strip
 
@@ -16,7 +17,7 @@ SCALE = 10
 DECIMAL = f"decimal(38,{SCALE})"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
@@ -48,7 +49,7 @@ def render(number: Column) -> Column:
     return F.when(number == 0, "0").when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
 
 
-@F.udf("string")
+@F.udf(StringType())
 def mean40(total, n) -> str | None:
     """total / n to 40 significant digits, half to even: run on aggregated rows only."""
     if not n:

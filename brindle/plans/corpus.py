@@ -224,4 +224,80 @@ QUERIES = {f.__name__: f for f in (
     flt03_filename_search, flt04_query_validation, ag01_collections, ag02_ag03_documents, ag16_fingerprints, jn01_jn02_lookup, jn15_decisions, jn16_pl06_visible, jn17_tasks, jn22_overview,
     snk06_applied, so02_so03_collections, wn09_retention, tk06_latest, wn10_breaker, wn11_throttle, wn12_concurrency, st04_latest_state,
 )}
-SQL: dict[str, str] = {}
+
+# ---- the same in SQL ----
+
+_ID = "sha256(source::BLOB || '\\x00'::BLOB || '.txt'::BLOB || '\\x00'::BLOB || encode(text))"
+_REG = f"reg AS (SELECT {_ID} AS document_id, source AS collection, 'doc_' || min(doc_id) || '.txt' AS filename FROM documents GROUP BY 1, 2)"
+_BLOCKS = r"""lines AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+blocks AS (SELECT doc, 1 + i // 40 AS page, i % 40 AS block_no, i, CASE WHEN i % 7 = 3 THEN 'Figure ' || i || '. ' || line WHEN i % 11 = 5 THEN i || ' Heading ' || left(line, 60) ELSE line END AS text,
+  40.0 AS x0, 20.0 * (i % 40) AS y0, 40.0 + 6 * length(line) AS x1, 20.0 * (i % 40) + 14 AS y1 FROM lines)"""
+_HEAD = r"(regexp_matches(text, '^[0-9]+(\.[0-9]+)*\.?\s+[A-Z][^\n]{1,100}$') OR lower(text) IN ('abstract', 'references', 'conclusion'))"
+_FIG = r"regexp_matches(text, '(?i)^(fig(ure)?\.?\s*[0-9]+|图\s*[0-9]+)')"
+_SECTIONS = f"""sections AS (SELECT *, count(*) FILTER ({_HEAD}) OVER w AS section_no, last_value(CASE WHEN {_HEAD} THEN text END IGNORE NULLS) OVER w AS section FROM blocks
+  WINDOW w AS (PARTITION BY doc ORDER BY page, block_no))"""
+_ACCESS = """u AS (SELECT DISTINCT user_id AS actor, user_id % 50 = 0 AS admin, user_id % 17 <> 0 AS active FROM events),
+s AS (SELECT DISTINCT source AS collection, substr(source, 4)::BIGINT AS n FROM documents),
+g AS (SELECT collection, actor, actor % 2 = 0 AS editor FROM u, s WHERE (actor + n) % 3 <> 0),
+dg AS (SELECT doc_id AS document, actor, doc_id % 2 = 0 AS editor FROM documents, u WHERE doc_id % 5 = 0 AND (actor + doc_id) % 4 = 0)"""
+_ALLOWED = """(coalesce(active, false) AND (coalesce(admin, false) OR (g.actor IS NOT NULL AND (NOT write OR g.editor) AND (document % 5 <> 0 OR (dg.actor IS NOT NULL AND (NOT write OR dg.editor))))))"""
+_DECIDED = f"""r AS (SELECT event_id, user_id AS actor, event_id % 200 AS document, event_type = 'purchase' AS write, source AS collection FROM events JOIN documents ON doc_id = event_id % 200),
+decided AS (SELECT event_id, {_ALLOWED} AS allowed FROM r LEFT JOIN u USING (actor) LEFT JOIN g ON g.actor = r.actor AND g.collection = r.collection LEFT JOIN dg ON dg.actor = r.actor AND dg.document = r.document)"""
+_ALLOWED_R = _ALLOWED.replace("(document %", "(r.document %")
+_DECIDED = _DECIDED.replace(_ALLOWED, _ALLOWED_R)
+_SEEN = f"""r AS (SELECT doc_id AS document, source AS collection, actor, false AS write FROM documents, (SELECT DISTINCT actor FROM u)),
+seen AS (SELECT r.actor, r.document, r.collection FROM r LEFT JOIN u USING (actor) LEFT JOIN g ON g.actor = r.actor AND g.collection = r.collection LEFT JOIN dg ON dg.actor = r.actor AND dg.document = r.document WHERE {_ALLOWED_R})"""
+_AT = "(epoch_us(ts) / 1e6)"
+
+
+def _chunks() -> str:
+    from brindle.plans.retrieval import _CHUNKS
+
+    return _CHUNKS
+
+
+SQL = {
+    "src01_ingest": f"""WITH f AS (SELECT doc_id AS seq, source, text, 'doc_' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.EXE' ELSE '.txt' END AS name FROM documents WHERE text IS NOT NULL),
+      x AS (SELECT *, lower(regexp_extract(name, '(\\.[^.]*)$', 1)) AS suffix, CASE WHEN seq % 10 = 0 THEN 'type' WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) > 20000 THEN 'size' END AS reason FROM f)
+      SELECT seq, name, suffix, reason, CASE WHEN reason IS NULL THEN {_ID} END AS document_id FROM x""",
+    "src02_register": f"WITH {_REG} SELECT * FROM reg",
+    "src07_page_sections": f"WITH {_BLOCKS}, {_SECTIONS} SELECT doc, page, block_no, section_no, section FROM sections",
+    "scl08_captions": f"WITH {_BLOCKS} SELECT doc, count(*) FILTER ({_FIG}) AS figures, count(*) AS blocks FROM blocks GROUP BY doc",
+    "jn08_caption_association": f"""WITH {_BLOCKS}, n AS (SELECT r.doc, r.page, r.block_no AS region, c.text, c.y0 >= r.y1 - 8 AS below, c.y1 <= r.y0 + 8 AS above,
+        CASE WHEN c.y0 >= r.y1 - 8 THEN greatest(0, c.y0 - r.y1) ELSE greatest(0, r.y0 - c.y1) END AS d FROM blocks r JOIN (SELECT * FROM blocks WHERE {_FIG}) c USING (doc, page)
+        WHERE r.i % 7 = 2 AND least(r.x1, c.x1) > greatest(r.x0, c.x0))
+      SELECT doc, page, region, text AS caption FROM n WHERE (below OR above) AND d <= 90 QUALIFY row_number() OVER (PARTITION BY doc, page, region ORDER BY d + CASE WHEN below THEN 0 ELSE 30 END, encode(text)) = 1""",
+    "jn09_section_at": f"WITH {_BLOCKS}, {_SECTIONS} SELECT doc, i AS line_no, section FROM sections WHERE i % 7 = 2",
+    "wn01_parent_paths": """WITH s AS (SELECT conv_id AS doc, turn AS n, role || ' ' || turn AS title, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations),
+      p AS (SELECT a.doc, a.n, b.n AS m, b.title FROM s a JOIN s b ON a.doc = b.doc AND b.n < a.n AND b.level < a.level
+        AND NOT EXISTS (SELECT 1 FROM s c WHERE c.doc = a.doc AND c.n > b.n AND c.n < a.n AND c.level <= b.level))
+      SELECT s.doc, s.n AS section_no, coalesce(string_agg(p.title, ' / ' ORDER BY m), '') AS parent FROM s LEFT JOIN p USING (doc, n) GROUP BY 1, 2""",
+    "prj05_evidence": "SELECT doc_id, md5(left(text, 6000)) AS content, length(text) > 6000 AS truncated, 'e_' || left(sha256(source || '|' || doc_id), 24) AS evidence_id FROM documents",
+    "flt03_filename_search": f"WITH {_REG} SELECT document_id, filename FROM reg WHERE contains(lower(filename), 'c_1')",
+    "flt04_query_validation": "SELECT item_id AS query_id, item_id % 12 * 10 AS k, CASE WHEN item_id % 9 = 0 THEN 'blank' WHEN length(text) > 8000 THEN 'long' WHEN item_id % 12 * 10 NOT BETWEEN 1 AND 100 THEN 'k' END AS reason FROM benchmark",
+    "ag01_collections": f"WITH {_REG} SELECT collection, count(*) AS documents FROM reg GROUP BY 1",
+    "ag02_ag03_documents": f"WITH {_chunks()}, n AS (SELECT document, count(*) AS c FROM chunks GROUP BY 1) SELECT source AS collection, count(*) AS documents, count(c) AS indexed, coalesce(sum(c), 0)::BIGINT AS chunks FROM documents LEFT JOIN n ON document = lpad(doc_id::VARCHAR, 8, '0') GROUP BY 1",
+    "prj01_locator": f"WITH {_chunks()} SELECT chunk_id, '/documents/' || document || '/file?collection_id=' || collection || '#page=1' AS url FROM chunks",
+    "ag16_fingerprints": """SELECT label % 5 AS collection, count(DISTINCT CASE WHEN label = 7 THEN 'f0' ELSE 'f1' END) > 1 AS mixed, count(*) FILTER (embedding IS NULL) AS missing, max(CASE WHEN label = 7 THEN 'f0' ELSE 'f1' END) AS fingerprint,
+      count(DISTINCT CASE WHEN label = 7 THEN 'f0' ELSE 'f1' END) > 1 OR count(*) FILTER (embedding IS NULL) > 0 AS stale FROM embeddings GROUP BY 1""",
+    "jn01_jn02_lookup": f"WITH {_chunks()} SELECT chunk_id, document, lang FROM chunks JOIN documents ON document = lpad(doc_id::VARCHAR, 8, '0') WHERE source = 'src1'",
+    "jn15_decisions": f"WITH {_ACCESS}, {_DECIDED} SELECT event_id, allowed FROM decided",
+    "jn16_pl06_visible": f"WITH {_ACCESS}, {_SEEN} SELECT actor, count(*) AS documents FROM seen GROUP BY 1",
+    "jn17_tasks": f"WITH {_ACCESS}, {_DECIDED} SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, bool_and(allowed) AS shown FROM decided JOIN events USING (event_id) GROUP BY 1, 2",
+    "jn22_overview": f"WITH {_ACCESS}, n AS (SELECT document, count(*) AS c FROM dg GROUP BY 1) SELECT doc_id AS document, doc_id % 5 = 0 AS restricted, coalesce(c, 0) AS grants FROM documents LEFT JOIN n ON document = doc_id",
+    "snk06_applied": f"""WITH {_ACCESS}, ch AS (SELECT event_id % 40 * 5 AS document, user_id AS actor, ['none', 'viewer', 'editor'][event_id % 3 + 1] AS role, event_id AS seq FROM events WHERE event_id % 31 <> 0),
+      l AS (SELECT document, actor, arg_max(role, seq) AS role FROM ch GROUP BY 1, 2) SELECT * FROM (SELECT coalesce(l.document, dg.document) AS document, coalesce(l.actor, dg.actor) AS actor,
+      coalesce(l.role, CASE WHEN dg.editor THEN 'editor' ELSE 'viewer' END) AS role FROM dg FULL JOIN l ON l.document = dg.document AND l.actor = dg.actor) WHERE role <> 'none'""",
+    "so02_so03_collections": f"WITH {_ACCESS}, {_SEEN}, n AS (SELECT collection, count(*) AS c FROM seen WHERE actor = 3 GROUP BY 1) SELECT collection, coalesce(c, 0) AS documents FROM s LEFT JOIN n USING (collection)",
+    "wn09_retention": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20",
+    "tk06_latest": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
+    "wn10_breaker": """WITH c AS (SELECT user_id AS key, row_number() OVER w - 1 AS idx, event_type <> 'error' AS ok, lag(event_type, 1) OVER w AS e1, lag(event_type, 2) OVER w AS e2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      f AS (SELECT key, min(idx) AS first FROM c WHERE NOT ok AND e1 = 'error' AND e2 = 'error' GROUP BY 1)
+      SELECT key, idx, CASE WHEN idx >= 60 OR coalesce(idx > first, false) THEN 'skipped' WHEN ok THEN 'complete' ELSE 'failed' END AS status FROM c LEFT JOIN f USING (key)""",
+    "wn11_throttle": f"""WITH RECURSIVE a AS (SELECT user_id AS key, {_AT} AS tm, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      t AS (SELECT key, id, n, true AS accepted, [tm] AS held FROM a WHERE n = 1
+        UNION ALL SELECT a.key, a.id, a.n, len(list_filter(held, lambda x: a.tm - x < 21600)) < 3, list_filter(held, lambda x: a.tm - x < 21600) || CASE WHEN len(list_filter(held, lambda x: a.tm - x < 21600)) < 3 THEN [a.tm] ELSE [] END
+        FROM t JOIN a ON a.key = t.key AND a.n = t.n + 1) SELECT id, accepted FROM t""",
+    "wn12_concurrency": """WITH r AS (SELECT event_id AS id, sum(CASE WHEN event_type IN ('signup', 'view', 'click') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS running FROM events) SELECT id, running::BIGINT AS running, running > 6 AS "over" FROM r""",
+    "st04_latest_state": """SELECT user_id || '/' || (epoch_us(ts) // 86400000000) AS task, arg_max(CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'running' END, (ts, event_id)) AS status FROM events GROUP BY 1""",
+}

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.anchors import MATCH, SPAN, anchors
-from brindle.llm.storage import materialize
+from brindle.llm.storage import delete, materialize
 from brindle.llm.suffix_sort import prefix_classes
 
 SEND_ROWS = 1_000_000  # of one long, at most sent to all executors
@@ -154,14 +155,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, runs)], pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _release(spark) -> None:
-    """Shuffle files that no plan needs any more go when the JVM collects their plan."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _release(spark, *tables: DataFrame) -> None:
+    """Removes written tables that are read no more. Shuffle files that no plan needs any more go when the JVM has collected their
+    plan, which takes two rounds and a moment."""
+    for t in tables:
+        delete(spark, t.inputFiles()[0].rsplit("/", 1)[0]) if t.inputFiles() else None
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """doc_id, s, e of the removed strings, overlapping as they may, of docs that are not in copies (doc_id)."""
+    """doc_id, spans (s, e): the removed strings, overlapping as they may, of docs that are not in copies (doc_id)."""
     spark, n = docs.sparkSession, copies.count()
     own = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50")
     own = own.join(F.broadcast(copies) if n <= SEND_ROWS else copies, "doc_id", "left_anti")
@@ -174,11 +180,15 @@ def spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     contexts = own.join(by_doc, "doc_id").select("doc_id", "text", "found")
     contexts = materialize(contexts.mapInArrow(_contexts, "h bigint, c bigint, doc_id bigint, start int, context binary"), "contexts")
     del by_doc
-    _release(spark)
+    _release(spark, shared)
     unique = contexts.groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.max("context").alias("context"), F.count("*").alias("n"))
     first = unique.repartition("h").sortWithinPartitions("h").select("h", "c", "doc_id", "context").mapInArrow(_first_docs, "c bigint, low int, high int, least bigint")
     hits = contexts.select("c", "doc_id", "start").join(first, "c").where("least < doc_id")
-    return hits.select("doc_id", (F.col("start") + F.col("low")).alias("s"), (F.col("start") + F.col("high") + MATCH).alias("e"))
+    found = hits.select("doc_id", (F.col("start") + F.col("low")).alias("s"), (F.col("start") + F.col("high") + MATCH).alias("e"))
+    found = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    del unique, first, hits
+    _release(spark, contexts)
+    return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -187,7 +197,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     digests = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64("text", F.lit(1)).alias("d2"))
     classes = digests.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = materialize(digests.join(classes, ["d1", "d2"]).where("doc_id > rep").select("doc_id").distinct(), "copies")
-    found = spans(docs, copies).groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    found = spans(docs, copies)
     marks = found.select("doc_id", F.lit(False).alias("copy"), "spans").unionByName(
         copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans")))
     return docs.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans").mapInArrow(

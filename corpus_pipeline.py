@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10 on shingles of five words, similarity 0.8: the smallest doc_id of each group stays."""
+    """Operator 10 on shingles of five words, similarity 0.85: the smallest doc_id of each group stays."""
     ship(spark)
-    found = jaccard_components(docs, size=5, num=80)
+    found = jaccard_components(docs, size=5, num=85)
     return _without(docs, found.where("component_id <> doc_id"), "duplicates")
 
 

@@ -81,8 +81,29 @@ def ag22_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return corpus._blocks(spark, sf).groupBy("doc", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def jn12_distinct_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes around every third line, of growing height: those that a kept one covers go."""
+    b = corpus._blocks(spark, sf).where("line_no % 3 = 0")
+    boxes = b.select("doc", "page", F.col("block_no").alias("n"), "x0", "y0", "x1", (F.col("y0") + 40 + (F.col("block_no") % 5) * 30).alias("y1"))
+    return layout.distinct_regions(boxes).select("doc", "page", "n")
+
+
+def jn13_assembled(spark: SparkSession, sf: str) -> DataFrame:
+    """Captions with the lines divisible by 5 as drawings above them."""
+    b = corpus._blocks(spark, sf).withColumn("n", F.col("block_no"))
+    return layout.assembled(b.where(F.col("text").rlike("(?i)^figure [0-9]")), b.where("line_no % 5 = 0").select("doc", "page", "x0", "y0", "x1", "y1"))
+
+
+def jn19_used_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each question's ten best chunks those that a claim cites; claims cite ranks by rule."""
+    hits = retrieval._bm25(spark, sf, 10)
+    cited = views.questions(spark, sf).select("query_id", F.explode(F.array((F.col("query_id") % 3 + 1).cast("int"), (F.col("query_id") % 5 + 4).cast("int"))).alias("rank"))
+    return hits.join(cited, ["query_id", "rank"], "left_semi").select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
 QUERIES = {f.__name__: f for f in (
     pl02_scl11_answers, jn18_dangling, ag21_ag23_accumulated, jn21_changed, scl12_claims, scl13_model_status, snk03_snapshot, snk04_export, jn10_nearby, jn11_outside, ag22_boxes,
+    jn12_distinct_regions, jn13_assembled, jn19_used_sources,
 )}
 
 # ---- the same in SQL ----
@@ -107,4 +128,8 @@ SQL = {
       SELECT doc, page, region, md5(left(string_agg(text, chr(10) ORDER BY y0), 1800)) AS nearby FROM k GROUP BY 1, 2, 3""",
     "jn11_outside": f"""WITH {_B} SELECT doc, i AS line_no FROM blocks b WHERE i % 5 = 0 AND NOT EXISTS (SELECT 1 FROM blocks h WHERE h.i % 6 = 1 AND h.doc = b.doc AND h.page = b.page AND h.x0 >= b.x0 AND h.y0 >= b.y0 AND h.x1 <= b.x1 AND h.y1 <= b.y1 + 30)""",
     "ag22_boxes": f"WITH {_B} SELECT doc, page, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM blocks GROUP BY 1, 2",
+    "jn13_assembled": f"""WITH {_B}, m AS (SELECT c.doc, c.page, c.block_no AS caption, min(d.x0) AS x0, min(d.y0) AS y0, max(d.x1) AS x1, max(d.y1) AS y1 FROM (SELECT * FROM blocks WHERE regexp_matches(text, '(?i)^figure [0-9]')) c
+        JOIN (SELECT * FROM blocks WHERE i % 5 = 0) d USING (doc, page) WHERE least(c.x1, d.x1) > greatest(c.x0, d.x0) AND d.y1 <= c.y0 AND d.y0 >= c.y0 - 260 GROUP BY 1, 2, 3)
+      SELECT doc, page, caption, (x0 - 4)::DOUBLE AS x0, (y0 - 4)::DOUBLE AS y0, (x1 + 4)::DOUBLE AS x1, (y1 + 4)::DOUBLE AS y1 FROM m WHERE x1 - x0 >= 40 AND y1 - y0 >= 30""",
+    "jn19_used_sources": f"{_BM} SELECT query_id, rank, chunk_id FROM bm WHERE rank IN (query_id % 3 + 1, query_id % 5 + 4)",
 }

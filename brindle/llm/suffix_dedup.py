@@ -181,13 +181,17 @@ def spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     contexts = materialize(contexts.mapInArrow(_contexts, "h bigint, c bigint, doc_id bigint, start int, context binary"), "contexts")
     del by_doc
     _release(spark, shared)
-    unique = contexts.groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.max("context").alias("context"), F.count("*").alias("n"))
-    first = unique.repartition("h").sortWithinPartitions("h").select("h", "c", "doc_id", "context").mapInArrow(_first_docs, "c bigint, low int, high int, least bigint")
+    # Dealt by h alone, equal contexts meet and so do those of an anchor: one shuffle serves the grouping and the sort.
+    unique = contexts.repartition("h").groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.max("context").alias("context"))
+    first = unique.sortWithinPartitions("h").select("h", "c", "doc_id", "context").mapInArrow(_first_docs, "c bigint, low int, high int, least bigint")
+    first = materialize(first, "first-docs")
+    del unique
+    _release(spark)
     hits = contexts.select("c", "doc_id", "start").join(first, "c").where("least < doc_id")
     found = hits.select("doc_id", (F.col("start") + F.col("low")).alias("s"), (F.col("start") + F.col("high") + MATCH).alias("e"))
     found = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
-    del unique, first, hits
-    _release(spark, contexts)
+    del hits
+    _release(spark, contexts, first)
     return found
 
 

@@ -6,8 +6,13 @@ check digits are made right again. A permutation maps equal values to equal pseu
 different ones. The local part of an e-mail address, and secrets after token, password and the like, have no such domain: each character
 is replaced within its class by a keyed hash of the whole value, which links equal values too. Numbers that are not valid stay.
 
+Kinds are sought in turn (PASSES). Of a match that takes in what follows, the longest valid part up to a separator counts (an IBAN of its
+country's length before others); what is not replaced is text again, in which later kinds are sought. Runs of digits are tried from each of
+their groups; a part of a run has three digits a group on average at least, as most rows of short numbers hold a valid card by chance.
+
 Defined results: null text stays null, a text without such data stays as it is. All rows and columns are carried, whatever their names.
-Dates from 1600 to 2399 are permuted among themselves; others stay.
+Dates from 1600 to 2399 are permuted among themselves; others stay. dd/mm/yyyy comes before mm/dd/yyyy; dates that are only the latter
+(days beyond 12) are permuted among themselves.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 KEY = "set a secret key"
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: kind: pattern, in the order in which they are tried at a place of the text
+#: kind: pattern
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9_])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\s?[=:]\s?[\x22']?[A-Za-z0-9+/_-]{12,}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -28,8 +33,18 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
-    "card": r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "national": r"(?<![0-9A-Za-z+])\(0?[1-9][0-9]{1,3}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z.+/-])(?<![0-9] )(?:[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9/]|[ .-][0-9])",
+    "card_form": r"(?<![0-9.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
+    "card": r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,}+(?![0-9])",
 }
+#: kinds sought together, of which the first that fits counts
+PASSES = (("email", "secret"), ("iban",), ("iso_date", "day_first", "ssn", "ip"), ("card_form",), ("phone", "national"), ("card",))
+#: characters of a country's IBAN
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _FIRST_DAY, _DAYS = "1600-01-01", 292194  # to 2399-12-31
 
@@ -100,14 +115,20 @@ def _scrambled(key: str, tag: str, value: Column, whole: Column) -> Column:
     return _let(noise, lambda noise: F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: swap(c, i, noise)), ""))
 
 
-def _kind(m: Column) -> Column:
-    """The pattern that the whole of a match fits."""
+def _kind(m: Column, kinds: tuple[str, ...]) -> Column:
+    """The first of kinds whose pattern the whole of a match fits."""
     out = F.lit(None).cast("string")
-    for kind, pattern in reversed(PATTERNS.items()):
-        out = F.when(m.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+    for kind in reversed(kinds):
+        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return out
 
 
+def _month_first(m: Column, key: str) -> Column:
+    """mm/dd/yyyy, days beyond 12, permuted among themselves."""
+    return F.when(m.substr(4, 2).cast("int") > 12, F.aggregate(F.sequence(F.lit(0), F.lit(63)), _date(m, "MM/dd/yyyy", key), lambda v, _: F.when(
+        (v == m) | (v.substr(4, 2).cast("int") > 12), v).otherwise(_date(v, "MM/dd/yyyy", key)))).otherwise(m)
+
+
 def _date(m: Column, form: str, key: str) -> Column:
     day = F.try_to_date(m, form)
     x = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
@@ -118,50 +139,156 @@ def _date(m: Column, form: str, key: str) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), y.cast("int")), form)).otherwise(m)
 
 
-def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    """What stands for a match; the match itself if it is not valid."""
+def _card(m: Column, key: str) -> Column:
+    d = _digits(m)
+    n = F.length(d)
+    use = lambda body: _refilled(m, _let(_permuted(key, "card", body), lambda new: F.concat(new, luhn_digit(new))))
+    return _let(d.substr(F.lit(1), n - 1), use)
+
+
+def _phone(m: Column, key: str) -> Column:
     d = _digits(m)
     n = F.length(d)
-    body = d.substr(F.lit(1), n - 1)
-    card = F.when(luhn_digit(body) == d.substr(n, F.lit(1)), _refilled(m, _let(_permuted(key, "card", body), lambda new: F.concat(new, luhn_digit(new))))).otherwise(m)
     country = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})[ .(-]", 1))
     country = F.greatest(F.when(country > 0, country).otherwise(1), n - 18)
-    phone = F.when(n.between(8, 15), _refilled(m, F.concat(d.substr(F.lit(1), country), _permuted(key, "phone", d.substr(country + 1, n))))).otherwise(m)
+    return _let(country, lambda c: _refilled(m, F.concat(d.substr(F.lit(1), c), _permuted(key, "phone", d.substr(c + 1, n)))))
+
+
+def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
     side = F.lit(65536).cast("long")
     address = feistel(key, F.lit("ip"), F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o), side, side)
     octet = lambda x, s: F.call_function("shiftright", x, F.lit(s)).bitwiseAND(F.lit(255).cast("long")).cast("string")
-    ip = _let(address, lambda x: F.concat_ws(".", *[octet(x, s) for s in (24, 16, 8, 0)]))
+    return _let(address, lambda x: F.concat_ws(".", *[octet(x, s) for s in (24, 16, 8, 0)]))
+
+
+def _iban(m: Column, key: str) -> Column:
     plain = F.regexp_replace(m, " ", "")
-    account = plain.substr(F.lit(5), F.length(plain))
-    ad = _digits(account)
-    tail = F.greatest(F.length(ad) - 18, F.lit(0))
-    moved = lambda: _refilled(account, F.concat(ad.substr(F.lit(1), tail), _permuted(key, "iban", ad.substr(tail + 1, F.length(ad)))))
     check = lambda x: F.lpad((98 - _mod97(F.concat(x, F.substring(plain, 1, 2), F.lit("00")))).cast("string"), 2, "0")
     respaced = lambda fresh: F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), lambda c, i: F.when(c == " ", c).otherwise(
         fresh.substr(F.length(F.regexp_replace(m.substr(F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    spaced = _let(_let(moved(), lambda x: F.concat(F.substring(plain, 1, 2), check(x), x)), respaced)
-    iban = F.when((_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1) & (ad != ""), spaced).otherwise(m)
+
+    def moved(account: Column) -> Column:
+        ad = _digits(account)
+        tail = F.greatest(F.length(ad) - 18, F.lit(0))
+        return _refilled(account, F.concat(ad.substr(F.lit(1), tail), _permuted(key, "iban", ad.substr(tail + 1, F.length(ad)))))
+
+    spaced = lambda: _let(_let(_let(plain.substr(F.lit(5), F.length(plain)), moved), lambda x: F.concat(F.substring(plain, 1, 2), check(x), x)), respaced)
+    return F.when(F.substring(plain, 5, 99).rlike("[0-9]"), spaced()).otherwise(m)
+
+
+def _email(m: Column, key: str) -> Column:
     local, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
-    email = F.concat(_scrambled(key, "email", local, F.lower(m)), F.lit("@"), domain)
+    return F.concat(_scrambled(key, "email", local, F.lower(m)), F.lit("@"), domain)
+
+
+def _secret(m: Column, key: str) -> Column:
     name = F.regexp_extract(m, r"^(AKIA|[A-Za-z_-]+\s?[=:]\s?[\x22']?)", 1)
-    value = m.substr(F.length(name) + 1, F.length(m))
-    secret = F.concat(name, _scrambled(key, "secret", value, value))
-    return (
-        F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "iso_date", _date(m, "yyyy-MM-dd", key))
-        .when((kind == "day_first") & m.contains("/"), _date(m, "dd/MM/yyyy", key)).when(kind == "day_first", _date(m, "dd.MM.yyyy", key))
-        .when(kind == "ssn", _refilled(m, _permuted(key, "ssn", d))).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).otherwise(m)
-    )
+    return _let(name, lambda name: _let(m.substr(F.length(name) + 1, F.length(m)), lambda value: F.concat(name, _scrambled(key, "secret", value, value))))
+
+
+def _day_first(m: Column, key: str) -> Column:
+    return F.when(m.contains("."), _date(m, "dd.MM.yyyy", key)).when(m.substr(4, 2) > "12", _month_first(m, key)).otherwise(_date(m, "dd/MM/yyyy", key))
+
+
+#: what stands for a valid value of a kind; a date that is none stays
+PSEUDONYMS = {
+    "email": _email, "secret": _secret, "iban": _iban, "iso_date": lambda m, key: _date(m, "yyyy-MM-dd", key), "day_first": _day_first,
+    "ssn": lambda m, key: _refilled(m, _permuted(key, "ssn", _digits(m))), "ip": _ip, "phone": _phone, "national": lambda m, key: _refilled(m, _permuted(key, "national", _digits(m))),
+    "card_form": _card, "card": _card,
+}
+
+
+def _pseudonym(m: Column, kind: Column, kinds: tuple[str, ...], key: str) -> Column:
+    out = m
+    for k in kinds:
+        out = F.when(kind == k, PSEUDONYMS[k](m, key)).otherwise(out)
+    return out
+
+
+def _piece(text: Column, new: Column | None = None) -> Column:
+    return F.struct(text.alias("s"), (F.lit(None).cast("string") if new is None else new).alias("new"))
+
+
+def _is_card(m: Column) -> Column:
+    d = _digits(m)
+    n = F.length(d)
+    return F.when(n.between(13, 19), luhn_digit(d.substr(F.lit(1), n - 1)) == d.substr(n, F.lit(1))).otherwise(False)
+
+
+def _is_iban(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    n = F.length(plain)
+    return F.when(n.between(12, 35), _mod97(F.concat(plain.substr(F.lit(5), n), plain.substr(1, 4))) == 1).otherwise(False)
+
+
+def _start(m: Column, kind: str, key: str) -> Column:
+    """The longest valid part from the start of a match to the end of one of its groups, and what is left."""
+    if kind == "iban":
+        groups, ok = r" ?[A-Z0-9]+", _is_iban
+    else:
+        groups, ok = r"[^0-9]*[0-9]+", _is_card if kind == "card_form" else lambda x: F.length(_digits(x)).between(8, 15)
+    parts = F.regexp_extract_all(m, F.lit(groups), F.lit(0))
+    fit = F.filter(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda j: F.array_join(F.slice(parts, F.lit(1), j), "")), ok)
+    if kind == "iban":
+        lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
+        exact = F.filter(fit, lambda x: F.length(F.regexp_replace(x, " ", "")) == F.try_element_at(lengths, m.substr(1, 2)))
+        best = F.coalesce(F.get(exact, F.lit(0)), F.get(fit, F.lit(0)))
+    else:
+        best = F.get(fit, F.lit(0))
+    return _let(best, lambda x: F.when(x.isNull(), F.array(_piece(m))).otherwise(
+        F.array(_piece(x, PSEUDONYMS[kind](x, key)), _piece(m.substr(F.length(x) + 1, F.length(m))))))
+
+
+def _run(m: Column, key: str) -> Column:
+    """A run of digits: all of it if valid, else the cards in it, each from the first group that begins one to the last that ends it."""
+    parts = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+
+    def within(parts: Column) -> Column:
+        n = F.size(parts)
+        part = lambda i, j: F.array_join(F.slice(parts, i + 1, j - i), "")
+        fits = lambda i, j: _let(part(i, j), lambda x: (F.length(_digits(x)) >= 3 * (j - i)) & _is_card(x))
+        end = lambda i: F.get(F.filter(F.sequence(F.least(i + 6, n), i + 1, F.lit(-1)), lambda j: fits(i, j)), F.lit(0))
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,j:int>>").alias("out"))
+        add = lambda a, i, j: F.struct(F.coalesce(j, i + 1).alias("next"), F.concat(a["out"], F.array(F.struct(i.alias("i"), j.alias("j")))).alias("out"))
+        cut = F.aggregate(F.sequence(F.lit(0), n - 1), start, lambda a, i: F.when(i < a["next"], a).otherwise(_let(end(i), lambda j: add(a, i, j))), lambda a: a["out"])
+        return F.transform(cut, lambda x: F.when(x["j"].isNull(), _piece(F.get(parts, x["i"]))).otherwise(_let(part(x["i"], x["j"]), lambda v: _piece(v, _card(v, key)))))
+
+    return F.when(_is_card(m), F.array(_piece(m, _card(m, key)))).otherwise(_let(parts, within))
+
+
+def _searched(text: Column, kinds: tuple[str, ...], key: str) -> Column:
+    """Pieces of a text: values with their pseudonyms, and what lies between."""
+    pattern = F.lit("|".join(f"(?:{PATTERNS[k]})" for k in kinds))
+
+    def one(m: Column) -> Column:
+        if kinds == ("card",):
+            return _run(m, key)
+        if kinds in (("iban",), ("card_form",)):
+            return _start(m, kinds[0], key)
+        rest = tuple(k for k in kinds if k != "phone")
+        new = _let(_kind(m, rest), lambda kind: _pseudonym(m, kind, rest, key))
+        found = _let(new, lambda new: F.array(_piece(m, F.when(new != m, new))))
+        return F.when(m.startswith("+"), _start(m, "phone", key)).otherwise(found) if "phone" in kinds else found
+
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), one)
+    between = F.transform(F.split(text, pattern, -1), lambda p: F.array(_piece(p)))
+    pieces = F.flatten(F.zip_with(between, found, lambda p, f: F.concat(p, F.coalesce(f, F.array().cast("array<struct<s:string,new:string>>")))))
+    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<s:string,new:string>>").alias("out"))
+    return F.aggregate(pieces, start, lambda a, p: F.when(p["new"].isNull(), F.struct(F.concat(a["text"], p["s"]).alias("text"), a["out"].alias("out"))).otherwise(
+        F.struct(F.lit("").alias("text"), F.concat(a["out"], F.array(_piece(a["text"]), p)).alias("out"))), lambda a: F.concat(a["out"], F.array(_piece(a["text"]))))
 
 
 def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """All rows and columns of docs as __row (a struct), with __text, its text with pseudonyms, and __n, how many were put in."""
     df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     t = F.col(f"__row.{text}")
-    some = t.rlike("[0-9@]|AKIA") & t.rlike(ANY)
-    df = df.withColumn("__found", F.when(some, F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))))
-    df = df.withColumn("__new", F.when(F.col("__found").isNotNull(), F.transform("__found", lambda f: pseudonym(f["m"], f["kind"], key))))
-    df = df.withColumn("__parts", F.when(F.col("__found").isNotNull(), F.split(t, ANY, -1)))
-    joined = F.array_join(F.flatten(F.transform("__parts", lambda p, i: F.array(p, F.coalesce(F.get("__new", i), F.lit(""))))), "")
-    changed = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda z: z["__found"]["m"] != z["__new"]))
+    some = t.rlike("[0-9@=:]|AKIA") & t.rlike(ANY)  # each pattern needs one of the former
+    df = df.withColumn("__found", F.when(some, F.array(_piece(t))))
+    for kinds in PASSES:
+        pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+        search = lambda p: F.when(p["new"].isNull() & p["s"].rlike(pattern), _searched(p["s"], kinds, key)).otherwise(F.array(p))  # noqa: B023, E731
+        df = df.withColumn("__found", F.flatten(F.transform("__found", search)))
+    joined = F.array_join(F.transform("__found", lambda p: F.coalesce(p["new"], p["s"])), "")
+    changed = F.size(F.filter("__found", lambda p: p["new"] != p["s"]))
     return df.select("__row", F.when(F.col("__found").isNull(), t).otherwise(joined).alias("__text"), F.when(F.col("__found").isNull(), 0).otherwise(changed).cast("long").alias("__n"))

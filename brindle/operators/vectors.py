@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from brindle.functions.binding import let
 from brindle.operators.lexical import PLACES, top
 
+BLOCK = 10_000  # rows of each side compared at once, about
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -45,6 +47,36 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, on: list[str] | No
     return top(pairs.select("query_id", "chunk_id", F.round(dot(F.col("__v"), F.col("__q")), PLACES).alias("score")), k)
 
 
+def dense_top_blocks(vectors: DataFrame, queries: DataFrame, k: int, on: str) -> DataFrame:
+    """dense_top() for queries that grow with the vectors; `on`: a column that must agree; vectors of another length are not compared.
+
+    Both sides are cut into blocks by hash; each pair of blocks is one group of bounded size (about BLOCK rows of each), whose scores are
+    a product of matrices. A group keeps its k best of each query; these are merged. Nothing is broadcast.
+    """
+    n_q, n_v = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
+    side = lambda df, key, n: df.select(key, F.col(on).alias("__on"), normalized(F.col("vector")).alias("__v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("__own")).where("__v IS NOT NULL AND __on IS NOT NULL").withColumn("__size", F.size("__v"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = side(vectors, "chunk_id", n_v).withColumnRenamed("__own", "__vb").withColumn("__qb", every(n_q))
+    q = side(queries, "query_id", n_q).withColumnRenamed("__own", "__qb").withColumn("__vb", every(n_v))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+
+    def best(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(a) and len(q):
+            a = a.sort_values("chunk_id", kind="stable")
+            ids, v, asked, w = a["chunk_id"].to_numpy(), np.stack(a["__v"]), q["query_id"].to_numpy(), np.stack(q["__v"])
+            for s in range(0, len(asked), 64):
+                scores = np.round(w[s : s + 64] @ v.T, PLACES)
+                for query, row in zip(asked[s : s + 64], scores, strict=True):
+                    at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    found += [(query, ids[j], row[j]) for j in at[np.argsort(-row[at], kind="stable")][:k]]
+        return pd.DataFrame(found, columns=["query_id", "chunk_id", "score"])
+
+    keys = ["__on", "__size", "__vb", "__qb"]
+    pairs = a.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return top(pairs, k)
+
+
 def hashed_tokens(size: int = 64):
     """The default text model: counts of hashed tokens. Its fingerprint is `hashed-tokens-{size}`. A real model is loaded where the returned
     function is first called in a worker."""

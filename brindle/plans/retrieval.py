@@ -58,10 +58,17 @@ def scl09_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn04_tk02_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 queries that FIXTURES.md and the SQL name. All: jn04_tk02_dense_all."""
     v = _vectors(spark, sf)
     return _shown(vectors.dense_top(v, v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "vector", "collection"), K, on=["collection"]))
 
 
+def jn04_tk02_dense_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 as a query against all vectors of its collection."""
+    v = _vectors(spark, sf)
+    return _shown(vectors.dense_top_blocks(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector", "collection"), K, "collection"))
+
+
 def _embedded(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """UD-01: dense search over the default text embedding."""
     c = vectors.embedded(views.chunks(spark, sf), "chunk_id", tokenize(F.concat_ws("\n", "section", "content")))
@@ -116,7 +123,7 @@ def jn14_gold_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scl01_tokenize, scl02_wn03_chunks, ag04_postings, ag05_corpus_statistics, jn03_ag06_tk01_bm25, flt01_filtered_bm25, scl09_normalized, jn04_tk02_dense, ud01_embedding,
+    scl01_tokenize, scl02_wn03_chunks, ag04_postings, ag05_corpus_statistics, jn03_ag06_tk01_bm25, flt01_filtered_bm25, scl09_normalized, jn04_tk02_dense, jn04_tk02_dense_all, ud01_embedding,
     ag07_so01_tk07_wn06_hybrid, tk03_ud03_hybrid_rerank, ag18_metrics, ag19_ag20_pl03_benchmark, jn14_gold_validation,
 )}
 

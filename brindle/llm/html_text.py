@@ -5,7 +5,7 @@ hold them, and written to the shared folder. Spark counts each hash over the dif
 least LEAST_PAGES of them and on SHARE of all are the site's template; as each host has at most (elements of a page) / SHARE of
 those, the list by host is bounded. Blocks within such a subtree are left out.
 
-Content is the longest article (or main, or element of role main), else the body. Inside it go navigation, headers but for their headings,
+Content is all outermost articles and mains (or elements of role main) in page order, the body if these hold less than HELD of its text. Inside it go navigation, headers but for their headings,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by tag, role, visibility or the words of class
 and id. Character references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
 
@@ -31,6 +31,8 @@ LEAST_PAGES, SHARE = 5, 0.4
 SEND_HOSTS = 50_000  # hosts with a template of a few dozen hashes, at most sent to all executors
 MOSTLY = 0.8  # of a body's text: an element with more is not removed for its class alone
 
+HELD = 0.5  # of a body's text, without what looks unwanted
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = r"script|style|textarea|title|xmp|noembed|noframes"
 DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video map nav footer aside form button select textarea input label fieldset dialog menu menuitem title xmp noembed noframes".split())
@@ -120,24 +122,38 @@ def _chars(node) -> int:
     return total
 
 
-def content(root: Element) -> Element:
-    best = {}
-    todo = [root]
+def _seen_chars(node: Element) -> int:
+    """Characters of words, without elements that look unwanted."""
+    total, todo = 0, [node]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            continue
-        kind = "article" if x.tag == "article" else "main" if x.tag == "main" or x.attrs.get("role", "").lower() == "main" else "body" if x.tag == "body" else ""
-        if kind and not (kind == "article" and (_named(x) or _unwanted(x))):
-            n = _chars(x)
-            if n > best.get(kind, (0, None))[0]:
-                best[kind] = (n, x)
-        if not (x.tag in DROPPED):
+            total += sum(map(len, x.split()))
+        elif x is node or not (_unwanted(x) or (x.attrs and _named(x) and x.tag not in HEADINGS)):
             todo += x.children
-    for kind in ("article", "main", "body"):
-        if kind in best:
-            return best[kind][1]
-    return root
+    return total
+
+
+def content(root: Element) -> Element:
+    tops, body, todo, limit = [], root, [(root, False)], MOSTLY * _chars(root)
+    while todo:
+        x, taken = todo.pop()
+        if isinstance(x, str) or x.tag in DROPPED or (x.tag not in ("html", "body") and (_unwanted(x) or (x.attrs and _named(x) and _chars(x) <= limit))):
+            continue
+        main = x.tag == "main" or x.attrs.get("role", "").lower() == "main"
+        if x.tag == "body" and body is root:
+            body = x
+        if not taken and (main or (x.tag == "article" and not (_named(x) or _unwanted(x)))):
+            tops.append(x)
+            taken = True
+        todo += [(c, taken) for c in reversed(x.children)]
+    if not tops or sum(map(_seen_chars, tops)) < HELD * _seen_chars(body):
+        return body
+    if len(tops) == 1:
+        return tops[0]
+    out = Element("#content", {})
+    out.children = tops
+    return out
 
 
 def wanted(root: Element) -> Element:

@@ -2,20 +2,24 @@
 
 Where no token spans white space, the ids of a text are those of its chunks, one after the other; a chunk seen before is a
 lookup. The cache lives as long as its Python worker and has two generations: when the younger is full it becomes the older, and
-what is still in use moves up again. Of new chunks, trailing punctuation is looked up apart, and plain words are encoded many
-at a time, to be told apart by the ids that end a word. Tokenizers that keep white space cannot be used here.
+what is still in use moves up again. Chunks of more than LONGEST characters are never kept. New words of Latin letters, with or without trailing
+punctuation, go to the tokenizer's model directly, without normalizing and splitting, which leave them whole; other chunks go to
+the tokenizer. Tokenizers that keep white space cannot be used here.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
 GENERATION, LONGEST = 300_000, 64  # chunks of a generation, characters of a chunk that is kept
-JOINED = 64  # plain words encoded at once
+PUNCTUATION = ".,;:!?"  # taken apart from a word before it
+#: Byte-level models write printable bytes of Latin-1 as themselves, the others in turn from code point 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)}
 _OPEN: dict[str, Chunks] = {}
 
 
@@ -23,6 +27,69 @@ def split(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def _latin(word: str) -> bool:
+    """Letters that neither normal form C nor a rule on capitals splits or changes but for lower case."""
+    return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word))
+
+
+def _by_word(own: dict) -> bool:
+    """Whether a tokenizer (its JSON) is one that lower-cases, takes runs of letters and of punctuation apart and knows bytes: then a
+    word of Latin letters is one call of the model."""
+    steps = own.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers", [])
+    lowers = [x["type"] for x in (own.get("normalizer") or {}).get("normalizers", [])]
+    found = [x["pattern"].get("Regex", "").split("|") for x in steps if x["type"] == "Split"]
+    split_ = [x for x in found if r"[\p{L}]+" in x and r"[^\s\p{L}\p{N}]+" in x]
+    return own["model"]["type"] == "BPE" and len(steps) == 2 and len(split_) == 1 and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and "Lowercase" in lowers
+
+
+class Cache:
+    """What make() gives for chunks, in two generations."""
+
+    def __init__(self, make: Callable[[list[str]], dict]):
+        self.make, self.young, self.old = make, {}, {}
+
+    def lookup(self, chunks: set[str]) -> Callable:
+        """A function that gives what belongs to each of chunks, none of which is in a table of another tier."""
+        young, old = self.young, self.old
+        unseen = chunks.difference(young)
+        if not unseen:
+            return young.__getitem__
+        found = {w: old[w] for w in unseen if w in old} if old else {}
+        found |= self.make([w for w in unseen if w not in found])
+        kept = found if max(map(len, found)) <= LONGEST else {w: v for w, v in found.items() if len(w) <= LONGEST}
+        if len(young) + len(kept) > GENERATION:
+            self.old, self.young = young, kept
+        else:
+            young.update(kept)
+            if kept is found:
+                return young.__getitem__
+        return Tiers(found, young.__getitem__).__getitem__
+
+
+class Marks(dict):
+    """What a function gives, each key once."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
+class Tiers(dict):
+    """A table, and a function for what it lacks."""
+
+    def __init__(self, table: dict, beyond: Callable | None = None):
+        super().__init__(table)
+        self.beyond = beyond
+
+    def __missing__(self, key):
+        return self.beyond(key)
+
+
 class Chunks:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,88 +98,50 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
-        if suffix:
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for k in range(0, len(texts), 1024):
-            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+        own = json.loads(self.tokenizer.to_str())
+        self.by_word = _by_word(own)
+        if self.by_word:
+            self.model = Tokenizer.from_file(path).model
+            self.model._resize_cache(0)  # words come here once: the model's own cache would only cost time
+        self.packed = [k.to_bytes(4, "little") for k in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.cache = Cache(self.encode)
+
+    def _made(self, chunks: list[str], value: Callable, none) -> dict:
+        """value(ids) of each chunk, where the values of parts add up; none: the value of no ids."""
+        out, rest = {}, []
+        whole = lambda m: value(self.tokenizer.encode(m, add_special_tokens=False).ids)
+        marks, of = Marks(whole), self.model.tokenize if self.by_word else None
+        for w in chunks:
+            core, tail = w, none
+            if of and len(w) <= LONGEST:
+                if not w.isalpha():
+                    core = w.rstrip(PUNCTUATION)
+                    tail = marks[w[len(core) :]] if len(core) < len(w) else none
+                if _latin(core):
+                    core = core.lower()
+                    out[w] = value([t.id for t in of(core if core.isascii() else "".join(map(_BYTES.__getitem__, core.encode())))]) + tail
+                    continue
+            rest.append(w)
+        for k in range(0, len(rest), 1024):
+            part = rest[k : k + 1024]
+            out.update((w, value(e.ids)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
         return out
 
     def encode(self, chunks: list[str]) -> dict[str, bytes]:
         """Little-endian unsigned 32-bit ids of each chunk."""
-        out: dict[str, bytes] = {}
-        plain = [c for c in chunks if c.isalpha() and len(c) <= LONGEST] if self.ends is not None else []
-        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(cuts) == len(group):
-                raw = ids.tobytes()
-                at = [0, *cuts.tolist()]
-                out.update((c, raw[a:b]) for c, a, b in zip(group, at, at[1:], strict=False))
-        rest = [c for c in chunks if c not in out]
-        out.update((c, ids.tobytes()) for c, ids in zip(rest, self._encoded(rest), strict=True))
-        return out
+        packed = self.packed
+        return self._made(chunks, lambda ids: b"".join([packed[k] for k in ids]), b"")
 
-    def lookup(self, words: list[list[str]]) -> dict[str, bytes]:
-        """The ids of all chunks in words, and perhaps of others."""
-        young, old = self.young, self.old
-        unseen = {w for ws in words for w in ws if w not in young}
-        if not unseen:
-            return young
-        found = {w: old[w] for w in unseen if w in old}
-        new = [w for w in unseen if w not in found]
-        parts = {}
-        for w in new:
-            core = w.rstrip(".,;:!?")
-            if core != w and core and core[-1].isalpha():
-                parts[w] = core, w[len(core) :]
-        known = lambda w: young.get(w) or found.get(w) or old.get(w)
-        wanted = {x for p in parts.values() for x in p if not known(x)} | {w for w in new if w not in parts}
-        made = self.encode(list(wanted))
-        whole = lambda x: made[x] if x in made else known(x)
-        found |= made
-        found.update((w, whole(a) + whole(b)) for w, (a, b) in parts.items())
-        kept = {w: v for w, v in found.items() if len(w) <= LONGEST}
-        if len(young) + len(kept) > GENERATION:
-            self.old, self.young = young, {"": b""} | kept
-        else:
-            young.update(kept)
-        if len(kept) == len(found) and self.young is young:
-            return young
-        return _Both(found, young)
+    def lengths(self, chunks: list[str]) -> dict[str, int]:
+        """Numbers of ids of each chunk."""
+        return self._made(chunks, len, 0)
 
     def ids_of(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [split(t or "") for t in texts]
-        known = self.lookup(words).__getitem__
+        known = self.cache.lookup(set().union(*words))
         return [b"".join(map(known, ws)) for ws in words]
 
-    def lengths_of(self, texts: Iterable[str | None], table: dict[str, int]) -> list[int]:
-        """Numbers of ids: from table, else from the cache of this worker."""
-        words = [split(t or "") for t in texts]
-        rest = [[w for w in ws if w not in table] for ws in words]
-        known = self.lookup(rest).__getitem__
-        first = table.get
-        return [sum(map(len, map(known, r))) // 4 + sum(first(w, 0) for w in ws) for ws, r in zip(words, rest, strict=True)]
-
-
-class _Both(dict):
-    """What was just found, then the generation that was young."""
-
-    def __init__(self, found: dict, cache: dict):
-        super().__init__(found)
-        self.cache = cache
-
-    def __missing__(self, key):
-        return self.cache[key]
-
 
 def opened(path: str) -> Chunks:
     if path not in _OPEN:

@@ -1,12 +1,14 @@
 """Operator 7: packing token ids into windows by Karmarkar-Karp multiway differencing.
 
-Each task tokenizes its rows once and packs them in groups of about GROUP_TOKENS ids: no row leaves its task, and memory is that of
-a group and one document. A document gives full windows of its own; what remains is an item. Every sixth item is cut into halves,
-quarters and so on, so that fine pieces can level the windows. Multiway differencing then starts from one partial partition for
-each item (the item and zeros), always takes the two of largest spread and merges them with opposing order, largest
-with smallest. The windows come out nearly equal; if one exceeds the capacity, all is done again with one window more.
-
-Defined results: null or empty text is the separator alone. Repeated rows are packed each. Further columns are ignored. An empty
+Each task tokenizes its rows once and packs them in groups of about GROUP_TOKENS ids and at most GROUP_DOCS documents: no row leaves its
+task, and memory is that of a group and one document. A document gives full windows of its own; what remains is an item. Every FINE-th
+item is cut into halves, quarters and so on, so that fine pieces can level the windows. Multiway differencing starts from one partial
+partition for each item, always takes the two of largest spread and merges them with opposing order, largest with
+smallest. Of a partial partition only the sums above zero are held. The windows come out nearly equal; if one exceeds the capacity, all is done
+again with more windows, by as many as the excess over all windows fills.
+
+Defined results: null or empty text is the separator alone. A very long text is whole windows and one item. Repeated rows are packed each; items of
+equal length keep the order of their rows. Further columns, whatever their names, are ignored. An empty
 table gives no rows. sequence_id is the task's number times 2^33 plus a count, stable as long as the input's partitions are.
 """
 
@@ -23,38 +25,42 @@ from pyspark.sql import DataFrame
 
 from brindle.llm.chunks import opened
 
-CAPACITY, SEPARATOR, GROUP_TOKENS = 4096, 2, 1 << 20
+CAPACITY, SEPARATOR, GROUP_TOKENS, GROUP_DOCS = 4096, 2, 1 << 20, 1 << 16
 DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-FINEST = 8  # ids in the shortest cut of an item
+FINE, FINEST = 16, 16  # of so many items one is cut, into pieces of as many ids at least
 
 
 def differencing(lengths: list[int], m: int) -> np.ndarray:
-    """The window, 0 to m - 1, of each item."""
+    """The window, 0 to m - 1, of each item.
+
+    A partial partition is its sums above zero, largest first; the other windows, up to m, are empty. Two of them that fit beside each other
+    only interleave.
+    """
     n = len(lengths)
-    heap, sums, made = [], {}, []
-    for k, x in enumerate(lengths):
-        first = np.zeros(m, np.int64)
-        first[0] = x
-        sums[k] = first
-        heap.append((-x, k))
+    sums: dict[int, np.ndarray] = {k: np.array([x]) for k, x in enumerate(lengths)}
+    spread = lambda s: int(s[0]) - (int(s[-1]) if len(s) == m else 0)
+    heap = [(-spread(s), k) for k, s in sums.items()]
     heapq.heapify(heap)
+    made: list[tuple[int, int, int, int, np.ndarray]] = []
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        both = sums.pop(a) + sums.pop(b)[::-1]
+        x, y = sums.pop(a), sums.pop(b)
+        over = max(0, len(x) + len(y) - m)  # windows in which both have something: the smallest of x meet the smallest of y, crosswise
+        low, high = x[: len(x) - over], y[: len(y) - over]
+        both = np.concatenate((low, x[len(x) - over :] + y[len(y) - over :][::-1], high))
         order = np.argsort(-both, kind="stable")
         key = n + len(made)
         sums[key] = both = both[order]
-        made.append((a, b, order))
-        heapq.heappush(heap, (int(both[-1] - both[0]) if m > 1 else 0, key))
+        made.append((a, b, len(x), len(y), order))
+        heapq.heappush(heap, (-spread(both), key))
     window = np.zeros(n, np.int64)
-    labels = {n + len(made) - 1 if made else 0: np.arange(m)}
-    for k in range(len(made) - 1, -1, -1):  # from the last merge down, hand each slot's window to the two partitions
-        a, b, order = made[k]
-        own = labels.pop(n + k)
-        la, lb = np.empty(m, np.int64), np.empty(m, np.int64)
-        la[order] = own
-        lb[m - 1 - order] = own
-        for child, lab in ((a, la), (b, lb)):
+    top = sums[heap[0][1]] if heap else np.zeros(0)
+    labels = {heap[0][1]: np.arange(len(top))} if heap else {}
+    for k in range(len(made) - 1, -1, -1):  # from the last merge down, hand each sum's window to the two partitions
+        a, b, nx, ny, order = made[k]
+        own = np.empty(len(order), np.int64)
+        own[order] = labels.pop(n + k)
+        for child, lab in ((a, own[:nx]), (b, np.concatenate((own[nx:], own[len(order) - ny : nx][::-1])))):
             if child < n:
                 window[child] = lab[0]
             else:
@@ -71,9 +77,10 @@ def windows(lengths: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, i
     m = -(-sum(lengths) // capacity)
     while True:
         found = differencing(lengths, m)
-        if np.bincount(found, weights=lengths, minlength=m).max() <= capacity:
+        over = np.maximum(np.bincount(found, weights=lengths, minlength=m) - capacity, 0).sum()
+        if not over:
             return found, m
-        m += 1
+        m += -(-int(over) // capacity)
 
 
 def _cuts(n: int, fine: bool, capacity: int) -> list[tuple[int, int, bool]]:
@@ -93,7 +100,7 @@ def _pack(group: list[tuple[int, bytes]], first: int, capacity: int) -> tuple[pa
     rows, items, full = [], [], 0
     for k, (doc, ids) in enumerate(group):
         n = len(ids) // 4
-        for s, size, whole in _cuts(n, k % 6 == 0, capacity):
+        for s, size, whole in _cuts(n, k % FINE == 0, capacity):
             row = [doc, s, size, zlib.crc32(ids[4 * s : 4 * (s + size)]), n, 0, 0]
             if whole:
                 row[5] = first + full
@@ -119,12 +126,12 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
         enc = opened(tokenizer)
         first, group, size = TaskContext.get().partitionId() << 33, [], 0
         for b in batches:
-            for k in range(0, b.num_rows, 128):
-                part = b.slice(k, 128)
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
                 for doc, ids in zip(part.column(0).to_pylist(), enc.ids_of(part.column(1).to_pylist()), strict=True):
                     group.append((doc, ids + end))
                     size += len(ids) // 4 + 1
-                    if size >= GROUP_TOKENS:
+                    if size >= GROUP_TOKENS or len(group) >= GROUP_DOCS:
                         out, n = _pack(group, first, capacity)
                         first, group, size = first + n, [], 0
                         yield out

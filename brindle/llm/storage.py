@@ -23,17 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: The session's switch for removing a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: later jobs neither recompute it nor
-    lose it with an executor."""
+    lose it with an executor. The table stands for the shuffles that made it, whose files go with the write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def discard(df: DataFrame) -> None:
     """Remove a table written by materialize() whose readers have all finished."""
+    if files := df.inputFiles():
+        delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

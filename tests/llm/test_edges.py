@@ -18,7 +18,6 @@ from brindle.llm.packing import differencing, packed, windows
 from brindle.llm.pii import pseudonymized
 from brindle.llm.quality import quality_rules, quality_stats
 from brindle.llm.suffix_dedup import deduplicated
-from brindle.llm.suffix_sort import prefix_classes
 from brindle.llm.tables import ship
 from brindle.llm.token_counts import token_counts
 from brindle.llm.urls import url_filter
@@ -167,16 +166,6 @@ def test_suffix_dedup(docs, none):
     assert deduplicated(none).count() == 0
 
 
-def test_prefix_classes():
-    data = np.frombuffer(np.random.default_rng(2).choice([97, 98], 3000).astype(np.uint8).tobytes() * 2, np.uint8)
-    starts = np.arange(len(data) - 60)
-    got = prefix_classes(data, starts, 50)
-    seen = {}
-    for s, c in zip(starts.tolist(), got.tolist(), strict=True):
-        assert seen.setdefault(data[s : s + 50].tobytes(), c) == c
-    assert len(set(got.tolist())) == len(seen)
-
-
 def test_pii(docs, none, spark):
     t = ["card 4929348385146306, again 4929348385146306", "4929 3483 8514 6306 ip 10.0.0.1 on 1984-02-29 not 1984-02-30", "mail a.b1@x.example.com", "9807915762804490 stays"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string")

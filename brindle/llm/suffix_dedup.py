@@ -35,7 +35,7 @@ from brindle.llm.suffix_sort import sorted_suffixes
 SEND_ROWS = 1_000_000  # of one long, at most sent to all executors
 OFTEN = 16  # rows of one context in a part of a task, from which on they are dealt out
 LIMIT = 1 << 20  # rows of an anchor that wait to be judged together
-GROUP, HOT = 10_000, 2_000  # contexts sorted at once; different contexts of an anchor that one task sorts
+GROUP, HOT = 10_000, 20_000  # contexts sorted at once; different contexts of an anchor that one task sorts
 PARTED, DEALT = 1, 2  # what a row says of its context: others were dealt out, or it is one of these
 _U32 = 0xFFFFFFFF
 
@@ -127,11 +127,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch("g h c doc_id most before context", *[pa.array(x, pa.int64()) for x in out[:6]], pa.array(out[6], pa.binary()))
 
 
+_RANGES = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("least", pa.int64())]))
 _MEMBERS = pa.list_(pa.struct([("c", pa.int64()), ("low", pa.int32())]))
+RANGES, MEMBERS = "array<struct<low:int,high:int,least:bigint>>", "array<struct<c:bigint,low:int>>"
 
 
 def _first_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by g. By context h, c: the smallest doc_id of the strings that begin at its places low to high, where that
+    """Rows come sorted by g. By context h, c: ranges of places, low to high, with the smallest doc_id of the strings that begin there, where that
     is smaller than the largest doc_id with the context. Of anchors that were split: the class's d (a hash), its members and smallest doc_id."""
     held: list[list] = [[] for _ in range(7)]
 
@@ -159,8 +161,11 @@ def _first_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.append(first[1:], len(owner)) - 1
         keep = (split[owner[first]] == 0) & (least[first] < most[owner[first]])
         first, last = first[keep], last[keep]
-        none = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), _MEMBERS)
-        yield _batch("h c low high least d members", h[owner[first]], c[owner[first]], low[first].astype(np.int32), low[last].astype(np.int32), least[first], *none)
+        at = np.flatnonzero(np.concatenate(([True], owner[first][1:] != owner[first][:-1]))) if len(first) else first
+        ranges = pa.StructArray.from_arrays([low[first].astype(np.int32), low[last].astype(np.int32), least[first]], names=["low", "high", "least"])
+        ranges = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)), ranges)
+        who = owner[first[at]]
+        yield _batch("h c ranges least d members", h[who], c[who], ranges, *[pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), _MEMBERS)])
         if not split.any():
             return
         rows = []
@@ -171,8 +176,7 @@ def _first_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((h[owner[x]], doc_, d, [{"c": c[owner[y]], "low": low[y]} for y in order[a:z]]))
         if rows:
             hs, leasts, ds, members = zip(*rows, strict=True)
-            empty = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int32(), pa.int32())]
-            yield _batch("h c low high least d members", pa.array(hs, pa.int64()), *empty, pa.array(leasts, pa.int64()), pa.array(ds, pa.int64()), pa.array(members, _MEMBERS))
+            yield _batch("h c ranges least d members", pa.array(hs, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), _RANGES), pa.array(leasts, pa.int64()), pa.array(ds, pa.int64()), pa.array(members, _MEMBERS))
 
     for b in batches:
         for col, got in zip(held, b.columns, strict=True):
@@ -235,19 +239,21 @@ def spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     found = own.join(by_doc, "doc_id").select("doc_id", "text", "found")
     found = found.mapInArrow(_contexts, "g bigint, h bigint, c bigint, doc_id bigint, most bigint, before bigint, context binary")
     first = found.repartition("g").sortWithinPartitions("g").mapInArrow(
-        _first_docs, "h bigint, c bigint, low int, high int, least bigint, d bigint, members array<struct<c:bigint,low:int>>")
+        _first_docs, f"h bigint, c bigint, ranges {RANGES}, least bigint, d bigint, members {MEMBERS}")
     first = materialize(first, "first-docs")
     discard(stands)
-    known = first.where("d IS NULL").select("h", "c", "low", "high", "least")
+    known = first.where("d IS NULL").select("h", "c", "ranges")
     if n_hot:
         classes = first.where("d IS NOT NULL").select("h", "d", "least", "members")
         merged = classes.groupBy("h", "d").agg(F.min("least").alias("least"))
         members = classes.drop("least").join(merged, ["h", "d"]).select("h", "least", F.inline("members"))
-        known = known.unionByName(members.select("h", "c", "low", F.col("low").alias("high"), "least"))
-    start = f"(place >> 9) - least(place >> 9, {SPAN - 1})"
-    hits = different.join(known, ["h", "c"]).where("least < doc_id").selectExpr("doc_id", f"({start} + low) * 256 + (high - low + {MATCH}) AS span")
-    whole = shared.where("done").selectExpr("doc_id", f"({start}) * 256 + (place & 127) AS span")
-    out = materialize(whole.unionByName(hits).groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "spans")
+        places = members.groupBy("h", "c").agg(F.collect_list(F.struct("low", F.col("low").alias("high"), "least")).alias("ranges"))  # at most SPAN of a context
+        known = known.unionByName(places)
+    start = f"shiftright(place, 9) - least(shiftright(place, 9), {SPAN - 1})"
+    hits = different.join(known, ["h", "c"]).selectExpr(
+        "doc_id", f"transform(filter(ranges, x -> x.least < doc_id), x -> ({start} + x.low) * 256 + (x.high - x.low + {MATCH})) AS spans").where("size(spans) > 0")
+    whole = shared.where("done").selectExpr("doc_id", f"array(({start}) * 256 + (place & 127)) AS spans")
+    out = materialize(whole.unionByName(hits).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     discard(shared)
     discard(first)
     return out

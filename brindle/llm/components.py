@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.storage import materialize
+from brindle.llm.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,4 +29,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u").select(F.inline(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
-        edges = materialize(star.where("u <> v").distinct(), "edges")
+        before, edges = edges, materialize(star.where("u <> v").distinct(), "edges")
+        discard(before)

@@ -1,19 +1,19 @@
 """Operator 10: n-gram Jaccard join, exact, by size-banded tiles with bitmap signatures.
 
 1. Documents of equal shingle sets are one class, of which the smallest doc_id goes on.
-2. Candidates. Two sets that link differ in at most d shingles, d known from the larger size. Hash space is cut into more than d
-   ranges, so linked sets agree wholly in one range at least: the shingles of each range make a key, and documents that share a key
-   are candidates. Ranges depend on a size class (ratio CLASS), so a set near the end of its class takes the next one's too.
-   Ranges of fewer than two shingles say little and are left out by a set that has few of them; so many more ranges are taken
-   that no link is lost.
+2. Candidates. Shingles have one order for all documents: by how often they occur, as a table of 2^COUNTER_BITS counters knows it, then by hash. Two
+   sets that link share one at least of their first n - ceil(n num / den) + 1 shingles in that order, whatever the order; with rare ones first,
+   passages that many documents hold bring none together. Each document is tied to the first one of each of its keys, first within a
+   part of a task, so that a key sends one row from there.
 3. Candidates that hang together are dealt to tiles: up to TILE_DOCS documents and TILE_SHINGLES shingles, all of one size band where a
    group is larger. Each tile, and each pair of tiles whose bands can link, is one unit of work in which size and
    the bit counts of hashed bitmaps bound the overlap from above, and sorted arrays give it exactly. Pairs already connected
    in the unit are left out: components need no more.
 4. Links give the components.
 
-Defined results: null text or a text without words has no shingles and is its own component. Repeated rows are each returned; rows of a null doc_id
-stay unlinked. Further columns are ignored. An empty table gives no rows. Shingles are compared by 64-bit hashes.
+Defined results: null text or a text without words has no shingles and is its own component. Texts of any length are taken whole, one at a time.
+Repeated rows are each returned; rows of a null doc_id stay unlinked. Further columns, whatever their names, are ignored. An empty table gives no
+rows. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,59 +23,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import connected_components
-from brindle.llm.shingles import mix, shingles
-from brindle.llm.storage import materialize
+from brindle.llm.shingles import shingles
+from brindle.llm.storage import discard, materialize
 
-CLASS = 1.25  # ratio of a size class's ends
+COUNTER_BITS, SLICES, FANIN = 22, 64, 64  # counters of shingles: their number, parts in which tasks send them, tasks merged at once
 TILE_DOCS, TILE_SHINGLES = 1024, 1 << 20
 BITMAP_WORDS = 32  # of 64 bits
 SEND_ROWS = 1_000_000  # of two longs, at most sent to all executors
-WEAK = 2  # shingles that a range needs
 
 
 def linked(inter, a, b, num: int, den: int):
     return den * inter >= num * (a + b - inter)
 
 
-def _class_of(n: int) -> int:
-    return max(0, math.ceil(math.log(n) / math.log(CLASS) - 1e-9))
+def counter_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _top(c: int) -> int:
-    """The largest size of class c."""
-    return math.floor(CLASS**c + 1e-6)
-
-
-def _ranges(c: int, num: int, den: int) -> tuple[int, int]:
-    """Number of ranges of class c, and how many weak ones a set may leave out. Sizes a + b <= 2 top differ in (a + b)(den - num) / (den + num) at most."""
-    most = 2 * _top(c) * (den - num) // (den + num)
-    spare = 1 + most // 5
-    return most + 1 + spare, spare
-
-
-def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set, for the classes of all sets of its size up to den / num times as many."""
+def keys(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in the common order, one of which every set that links with it has among its own first ones. levels: a number for
+    each counter, below 64, larger for frequent shingles."""
     n = len(s)
-    out = []
-    for c in range(_class_of(n), _class_of(max(n, n * den // num)) + 1):
-        k, spare = _ranges(c, num, den)
-        if k == 1 + spare:  # no difference allowed: such sets are one class already
-            continue
-        part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        edges = np.searchsorted(part, np.arange(k, dtype=np.uint64))
-        sizes = np.diff(np.append(edges, n))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(s))))
-        total = sums[edges + sizes] - sums[edges]
-        tag = (np.arange(k, dtype=np.uint64) << np.uint64(8)) + np.uint64(c)
-        made = mix(total * np.uint64(0xC2B2AE3D27D4EB4F) + mix(tag))
-        weak = sizes < WEAK
-        out.append(made[~weak] if weak.sum() <= spare else made)
-    return np.concatenate(out) if out else s[:0]
+    most = n - -(-num * n // den) + 1
+    placed = (levels[counter_of(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+    return np.partition(placed, most - 1)[:most] if most < n else placed
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -113,19 +91,64 @@ def joined(ids: list[int], sets: list[np.ndarray], side: np.ndarray, num: int, d
     return found
 
 
+_SETS = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, task int, slice int, counts binary"
+
+
 def set_sizes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a 128-bit digest of the set; null without shingles)."""
+    """Rows of documents: doc_id, n_shingles, d1, d2 (a 128-bit digest of the set; null without shingles). Besides, each task's counters, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+        names = [x.split()[0] for x in _SETS.split(", ")]
         for b in batches:
-            ids, n, d = b.column(0), [], []
+            n, d = [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
                 d.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist() if len(s) else [None, None])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *[pa.array([x[k] for x in d], pa.int64()) for k in (0, 1)]], names=["doc_id", "n_shingles", "d1", "d2"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint")
+                np.add.at(counts, counter_of(s), np.uint32(1))
+            own = [b.column(0), pa.array(n, pa.int64()), *[pa.array([x[k] for x in d], pa.int64()) for k in (0, 1)]]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]], names=names)
+        if counts.any():
+            task, none = TaskContext.get().partitionId(), pa.nulls(SLICES, pa.int64())
+            raw = [np.minimum(x, 65535).astype("<u2").tobytes() for x in np.split(counts, SLICES)]
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array([task] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(raw, pa.binary())], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SETS)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows task, slice, counts come sorted by slice and task: one row for each, with the sum."""
+    at, total = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.int32()), pa.array([at[0]], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], names=["task", "slice", "counts"])
+
+    for b in batches:
+        for task, part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if (part, task) != at:
+                if at is not None:
+                    yield done()
+                at, total = (part, task), np.zeros((1 << COUNTER_BITS) // SLICES, np.int64)
+            total += np.frombuffer(raw.as_py(), "<u2")
+    if at is not None:
+        yield done()
+
+
+def frequency_levels(counters: DataFrame) -> np.ndarray:
+    """task, slice, counts of all tasks: for each counter twice the logarithm of its sum, below 64. Sums end at 65535. What the driver receives has a
+    fixed size, 2^COUNTER_BITS pairs of bytes."""
+    tasks = (counters.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        tasks = -(-tasks // FANIN)
+        counters = counters.withColumn("task", (F.col("task") % tasks).cast("int")).repartition("slice", "task").sortWithinPartitions("slice", "task")
+        counters = counters.mapInArrow(_added, "task int, slice int, counts binary")
+        if tasks == 1:
+            break
+    sums = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.float64)
+    for r in counters.collect():
+        sums[r["slice"]] = np.frombuffer(r["counts"], "<u2")
+    return (2 * np.log2(np.maximum(sums, 1))).astype(np.uint8).ravel()
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -135,26 +158,42 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): sets link when den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
-    known = materialize(set_sizes(docs, size), "jaccard-sets")
+    spark = docs.sparkSession
+    counted = materialize(set_sizes(docs, size), "jaccard-sets")
+    levels = spark.sparkContext.broadcast(frequency_levels(counted.where("counts IS NOT NULL").select("task", "slice", "counts")))
+    known = counted.where("counts IS NULL").select("doc_id", "n_shingles", "d1", "d2")
     classes = known.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     known = materialize(known.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "jaccard-classes")
+    discard(counted)
     out = known.where("rep <> doc_id OR n_shingles = 0").select("doc_id")
     alone = docs.where("doc_id IS NOT NULL").join(_small(out, out.count()), "doc_id", "left_anti")
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first document of each key in a part of the task, v null, and the ties of the others to it."""
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                ids, made = b.column(0).slice(k, 256).to_numpy(), []
-                for t in b.column(1).slice(k, 256):
+            for k in range(0, b.num_rows, 1024):
+                ids, made = b.column(0).slice(k, 1024).to_numpy(), []
+                for t in b.column(1).slice(k, 1024):
                     s = shingles(t.as_py(), size)
-                    made.append(keys(s, num, den) if len(s) else s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.repeat(ids, [len(x) for x in made]))], names=["key", "doc_id"])
+                    made.append(keys(s, levels.value, num, den) if len(s) else s)
+                key, doc = np.concatenate(made), np.repeat(ids, [len(x) for x in made])
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], doc[order]
+                new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+                first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+                tied = np.unique(np.stack([doc, first])[:, doc != first], axis=1)
+                key, doc = key[new].view(np.int64), doc[new]
+                v = pa.concat_arrays([pa.nulls(len(key), pa.int64()), pa.array(tied[1])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, tied[0]))), pa.array(np.concatenate((doc, tied[0]))), v], names=["key", "u", "v"])
 
-    rows = alone.mapInArrow(key_rows, "key bigint, doc_id bigint")
     def first_of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key: each document is tied to the first one of its key."""
+        """Rows come sorted by key: each document is tied to the first one of its key. Ties made before pass."""
         last, first = None, None
         for b in batches:
+            tied = b.column(2).is_valid()
+            made = b.filter(tied)
+            yield pa.RecordBatch.from_arrays(made.columns[1:], names=["u", "v"])
+            b = b.filter(pa.compute.invert(tied))
             if not b.num_rows:
                 continue
             key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -165,6 +204,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
             tied = np.unique(np.stack([doc, to])[:, doc != to], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(tied[0]), pa.array(tied[1])], names=["u", "v"])
 
+    rows = alone.mapInArrow(key_rows, "key bigint, u bigint, v bigint")
     edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(first_of_key, "u bigint, v bigint")
     near = connected_components(edges)
 

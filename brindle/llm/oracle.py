@@ -2,17 +2,15 @@
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-_FENCE = """max(CASE WHEN metric = '{m}' THEN q1 - 3 * (q3 - q1) - {slack} END) AS low_{m}, max(CASE WHEN metric = '{m}' THEN q3 + 3 * (q3 - q1) + {slack} END) AS high_{m}"""
-_METRICS = {"symbols": 100, "word_length": 50, "dup_lines": 400, "repeats": 200}
-_FENCES = ", ".join(_FENCE.format(m=m, slack=s) for m, s in _METRICS.items())
-_SIDES = [f"{side}_{m}" for m in _METRICS for side in ("low", "high")]
+_METRICS = {"symbols": False, "word_length": True, "dup_lines": False, "repeats": False}
 _LEVELS = "".join(f"""
 h_{level} AS (SELECT {keys} metric, bucket, sum(n) AS n FROM hist GROUP BY ALL),
 c_{level} AS (SELECT *, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {keys} metric) AS total FROM h_{level}),
-q_{level} AS (SELECT {keys} metric, min(bucket) FILTER (4 * seen >= total) AS q1, min(bucket) FILTER (4 * seen >= 3 * total) AS q3, any_value(total) AS total
-  FROM c_{level} GROUP BY {keys} metric),
-f_{level} AS (SELECT {keys} max(total) AS n_{level}, {_FENCES} FROM q_{level} {'GROUP BY ' + keys.rstrip(', ') if keys else ''}),"""
+q_{level} AS (SELECT {keys} metric, min(bucket) FILTER (10 * seen >= total) AS ql, min(bucket) FILTER (2 * seen >= total) AS qm,
+  min(bucket) FILTER (10 * seen >= 9 * total) AS qh FROM c_{level} WHERE total >= 100 GROUP BY {keys} metric),
+f_{level} AS (SELECT {keys} metric, qm - 4 * (qm - ql) AS low, qm + 4 * (qh - qm) AS high FROM q_{level}),"""
     for level, keys in (("own", "lang, source, "), ("lang", "lang, "), ("all", "")))
+_OUT = " OR ".join([f"{m} > high_{m}" for m in _METRICS] + ["word_length < low_word_length"])
 
 OP3 = rf"""
 WITH base AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t, {WORDS} AS w,
@@ -23,16 +21,19 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(ra
 stats AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words FROM base LEFT JOIN covered USING (doc_id)),
-m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (1000 * n_symbols) // greatest(n_words, 1) AS symbols,
-    (10 * word_chars) // greatest(n_words, 1) AS word_length, (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines,
-    (1000 * n_repeat_words) // greatest(n_words, 1) AS repeats FROM stats),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (10000 * n_symbols) // greatest(n_words, 1) AS symbols,
+    (1000 * word_chars) // greatest(n_words, 1) AS word_length, (10000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines,
+    (10000 * n_repeat_words) // greatest(n_words, 1) AS repeats FROM stats),
 hist AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n
-    FROM (UNPIVOT (SELECT lang, source, symbols, word_length, dup_lines, repeats FROM m) ON symbols, word_length, dup_lines, repeats INTO NAME metric VALUE v) GROUP BY ALL),
+    FROM (UNPIVOT (SELECT lang, source, symbols, word_length, dup_lines, repeats FROM m WHERE NOT base_failed) ON symbols, word_length, dup_lines, repeats INTO NAME metric VALUE v)
+    WHERE v > 0 OR metric = 'word_length' GROUP BY ALL),
 {_LEVELS}
-limits AS (SELECT f_own.lang, f_own.source, {', '.join(f'CASE WHEN n_own >= 50 THEN f_own.{s} WHEN n_lang >= 50 THEN f_lang.{s} ELSE f_all.{s} END AS {s}' for s in _SIDES)}
-    FROM f_own JOIN f_lang USING (lang) CROSS JOIN f_all)
+limits AS (SELECT g.lang, g.source, {', '.join(f"max(coalesce(o.{side}, l.{side}, a.{side})) FILTER (k.metric = '{m}') AS {side}_{m}" for m in _METRICS for side in ('low', 'high'))}
+    FROM (SELECT DISTINCT lang, source FROM stats) g CROSS JOIN (SELECT unnest({list(_METRICS)}) AS metric) k
+    LEFT JOIN f_own o ON o.lang = g.lang AND o.source = g.source AND o.metric = k.metric LEFT JOIN f_lang l ON l.lang = g.lang AND l.metric = k.metric
+    LEFT JOIN f_all a ON a.metric = k.metric GROUP BY g.lang, g.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-    n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(f'{m} BETWEEN low_{m} AND high_{m}' for m in _METRICS)} AS kept
+    n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({_OUT}, false) AS kept
 FROM m JOIN limits USING (lang, source)
 """
 

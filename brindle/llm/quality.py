@@ -1,13 +1,17 @@
 """Operator 3: quality rules with thresholds learnt from quantile sketches. DataFrame functions only.
 
-Every document gets integer metrics (per mille of words or lines, tenths of characters). A sketch is a histogram over
+Every document gets integer metrics (per ten thousand words, lines or characters; lengths of words in thousandths). A sketch is a histogram over
 integer buckets of bounded relative width, kept per language and source: plain counts, so sketches merge by
-addition, in any order, and a lost task changes nothing. From each sketch come the quartiles, from these
-Tukey fences; groups of too few documents take the fences of their language, then of the whole table. The fences
-are joined to the documents of their group and decide, besides the base rules, what is kept.
+addition, in any order, and a lost task changes nothing. Zeros are counted apart: of a metric that is mostly zero the quantiles are those
+of the other values. From each sketch come the median and the quantiles on both sides of it (TAIL of the values lie beyond each); a
+fence lies STEPS times as far from the median as the quantile. No figure in it is a cutoff: where a group's values lie close together its fences
+do, too. Documents that fail the base rules take no part in the sketches, as the fences are those of what is normal in a group. Groups of too few
+values take the fences of their language, then of the whole table. The fences are joined to the documents of their group and decide, besides the base
+rules, what is kept.
 
 Defined results: null text counts as empty (no words: base_failed). Null language or source is a group of its own.
-Repeated rows are judged row by row. Columns of the input beyond doc_id, text, lang and source are carried by
+Texts of any length are judged whole. Repeated rows are judged row by row, each counts in the sketches; values on a fence are inside. An empty table
+gives no rows. Columns of the input beyond doc_id, text, lang and source are carried by
 quality_rules() and ignored by quality_stats(); their names may clash with anything made here.
 """
 
@@ -17,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: metric: width added to the fences on each side. It keeps documents from being rejected for a hair where all others are alike.
-METRICS = {"symbols": 100, "word_length": 50, "dup_lines": 400, "repeats": 200}
-FENCE = 3  # interquartile ranges beyond the quartiles
-LEAST_GROUP = 50  # documents that a group needs for fences of its own
+#: metric: whether a low value is a fault too
+METRICS = {"symbols": False, "word_length": True, "dup_lines": False, "repeats": False}
+TAIL, STEPS = 10, 4  # 1 / TAIL of a group's values lie beyond each quantile, room for as much junk; fences lie STEPS times as far from the median
+LEAST_GROUP = 100  # values that a group needs for a fence of its own: ten beyond each quantile
 BROADCAST_GROUPS = 50_000  # rows of fences, under 10 MB
 _NONE = "\u0001"  # stands for a null language or source
 
@@ -64,8 +68,8 @@ def quality_stats(docs: DataFrame, keep: list[Column] | None = None) -> DataFram
     share = lambda a, b, of: F.floor(of * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
     df = df.withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        "m_symbols": share("n_symbols", "n_words", 1000), "m_word_length": share("word_chars", "n_words", 10),
-        "m_dup_lines": share("n_dup_lines", "n_lines", 1000), "m_repeats": share("n_repeat_words", "n_words", 1000),
+        "m_symbols": share("n_symbols", "n_words", 10_000), "m_word_length": share("word_chars", "n_words", 1000),
+        "m_dup_lines": share("n_dup_lines", "n_lines", 10_000), "m_repeats": share("n_repeat_words", "n_words", 10_000),
     })
     # Through a generator Spark pushes no condition on these columns: below the projections it would compute them once for each use.
     made = F.struct(*[c for c in df.columns if c not in ("__keep", "__t", "__words")])
@@ -79,34 +83,33 @@ def bucket(value: Column) -> Column:
 
 
 def quantile_sketches(stats: DataFrame) -> DataFrame:
-    """Counts by __lang, __source, metric and bucket: a table as small as the number of groups."""
-    long = stats.select("__lang", "__source", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), bucket(F.col(f"m_{m}")).alias("bucket")) for m in METRICS])))
+    """Counts by __lang, __source, metric and bucket, of what passes the base rules: a table as small as the number of groups. Groups without such documents
+    have a row of a null metric."""
+    rows = F.when(~F.col("base_failed"), F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"m_{m}")).alias("bucket")) for m in METRICS]))
+    long = stats.select("__lang", "__source", F.inline_outer(rows))
     return long.groupBy("__lang", "__source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """By __lang and __source, low_<metric> and high_<metric>, of the narrowest group with LEAST_GROUP documents."""
+    """By __lang and __source, low_<metric> and high_<metric>, of the narrowest group with LEAST_GROUP values; null where nothing has as many."""
     levels = {"own": ["__lang", "__source"], "lang": ["__lang"], "all": []}
-    found = None
+    found = sketches.select("__lang", "__source").distinct()
+    seen = sketches.where("metric IS NOT NULL AND (bucket > 0 OR metric = 'word_length')")
     for level, keys in levels.items():
-        merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+        merged = seen.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
         total = merged.groupBy(*keys, "metric").agg(
-            F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"))
+            F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b")).where(f"total >= {LEAST_GROUP}")
+        reached = lambda a, x, num, den: den * (a["seen"] + x["n"]) >= num * a["total"]
+        cuts = {"low": (1, TAIL), "mid": (1, 2), "high": (TAIL - 1, TAIL)}
         step = lambda a, x: F.struct(
-            (a["seen"] + x["n"]).alias("seen"),
-            F.coalesce(a["q1"], F.when(4 * (a["seen"] + x["n"]) >= a["total"], x["bucket"])).alias("q1"),
-            F.coalesce(a["q3"], F.when(4 * (a["seen"] + x["n"]) >= 3 * a["total"], x["bucket"])).alias("q3"), a["total"].alias("total"))
-        q = total.select(*keys, "metric", "total", F.aggregate("b", F.struct(
-            F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q3"), F.col("total").alias("total")), step).alias("q"))
-        wide = q.groupBy(*keys).agg(F.max("total").alias(f"n_{level}"), *[
-            F.max(F.when(F.col("metric") == m, F.struct(
-                (F.col("q.q1") - FENCE * (F.col("q.q3") - F.col("q.q1")) - slack).alias("low"),
-                (F.col("q.q3") + FENCE * (F.col("q.q3") - F.col("q.q1")) + slack).alias("high")))).alias(f"{level}_{m}")
-            for m, slack in METRICS.items()])
-        found = wide if found is None else found.join(wide, keys) if keys else found.crossJoin(F.broadcast(wide))
-    pick = lambda m: F.when(F.col("n_own") >= LEAST_GROUP, F.col(f"own_{m}")).when(F.col("n_lang") >= LEAST_GROUP, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
-    return found.select("__lang", "__source", *[pick(m)[side].alias(f"{side}_{m}") for m in METRICS for side in ("low", "high")])
+            (a["seen"] + x["n"]).alias("seen"), a["total"].alias("total"), *[F.coalesce(a[q], F.when(reached(a, x, *of), x["bucket"])).alias(q) for q, of in cuts.items()])  # noqa: B023
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.col("total").alias("total"), *[F.lit(None).cast("long").alias(q) for q in cuts])
+        q = total.select(*keys, "metric", F.aggregate("b", start, step).alias("q"))
+        low, high = (F.col("q.mid") - STEPS * (F.col("q.mid") - F.col("q.low"))), (F.col("q.mid") + STEPS * (F.col("q.high") - F.col("q.mid")))
+        wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.struct(low.alias("low"), high.alias("high")))).alias(f"{level}_{m}") for m in METRICS])
+        found = found.join(wide, keys, "left") if keys else found.crossJoin(F.broadcast(wide))
+    pick = lambda m: F.coalesce(F.col(f"own_{m}"), F.col(f"lang_{m}"), F.col(f"all_{m}"))
+    return found.select("__lang", "__source", *[pick(m)[side].alias(f"{side}_{m}") for m, low in METRICS.items() for side in (("low", "high") if low else ("high",))])
 
 
 def judge(stats: DataFrame, limits: DataFrame, n_groups: int) -> DataFrame:
@@ -114,18 +117,25 @@ def judge(stats: DataFrame, limits: DataFrame, n_groups: int) -> DataFrame:
     and Spark splits a group that is hot."""
     limits = F.broadcast(limits) if n_groups <= BROADCAST_GROUPS else limits
     inside = F.lit(True)
-    for m in METRICS:
-        inside &= F.col(f"m_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}"))
-    joined = stats.join(limits, ["__lang", "__source"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    for m, low in METRICS.items():
+        inside &= F.coalesce(F.col(f"m_{m}") <= F.col(f"high_{m}"), F.lit(True))
+        if low:
+            inside &= F.coalesce(F.col(f"m_{m}") >= F.col(f"low_{m}"), F.lit(True))
+    joined = stats.join(limits, ["__lang", "__source"], "left").withColumn("kept", ~F.col("base_failed") & inside)
     return joined.drop(*limits.columns)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their own columns. The statistics are computed once for the sketches and once beside
-    the verdict, so no text is shuffled."""
+def judged(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """What keep selects of each row of docs, its statistics and the verdict. Statistics are computed once and written, with keep but without
+    texts unless keep has them: the sketches and the verdict read them."""
     from brindle.llm.storage import materialize
 
-    sketches = materialize(quantile_sketches(quality_stats(docs)), "quality-sketches")
-    n_groups = sketches.select("__lang", "__source").distinct().count()
-    stats = quality_stats(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("__row")])
-    return judge(stats, fences(sketches), n_groups).where("kept").select("__row.*")
+    stats = materialize(quality_stats(docs, keep), "quality-stats")
+    sketches = materialize(quantile_sketches(stats), "quality-sketches")
+    return judge(stats, fences(sketches), sketches.select("__lang", "__source").distinct().count())
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with their own columns. The written statistics carry the rows, so no text is read twice or shuffled."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
+    return judged(docs, [row]).where("kept").select("__row.*")

@@ -6,17 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.storage import materialize
 from brindle.llm.tables import table
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from brindle.llm import quality as q
+    from brindle.llm.quality import judged
 
-    stats = materialize(q.quality_stats(table(spark, sf_dir, "documents")), "quality-stats")
-    sketches = materialize(q.quantile_sketches(stats), "quality-sketches")
-    n_groups = sketches.select("__lang", "__source").distinct().count()
-    return q.judge(stats, q.fences(sketches), n_groups).select(
+    return judged(table(spark, sf_dir, "documents"), [F.col("doc_id")]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

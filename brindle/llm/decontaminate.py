@@ -8,11 +8,15 @@ Texts are lower-cased words of letters and digits; shingles are five words, and
    block at least, so the equi-join on (item size, block, bits) finds every pair within the radius.
 3. Each such pair is verified by its exact weighted shingle similarity, sum of minima over sum of maxima, at least 0.8.
 
-RADIUS is wide for that similarity (the expected distance is 10 bits at 0.8, with a deviation of 3), yet a pair could in principle lie
-outside it; the tests compare with an exact search.
+RADIUS is wide for that similarity (the expected distance is 10 bits at 0.8, with a deviation of 3), so blocks are of few bits and the index chooses little;
+its pairs are windows that hold a shingle of some item, times the items of their size. A pair beyond RADIUS, or a window that no common shingle lines up, could be
+missed; the tests compare with an exact search over all windows.
 
-Defined results: null and empty texts have no words and match nothing; so do items of fewer than five words. Repeated rows of docs are
-reported once per doc_id, repeated items per item_id; rows of a null doc_id or item_id are left out. Further columns are ignored.
+Items of fewer than five words are one shingle of as many words: a document holds such an item where these words stand in it in sequence.
+
+Defined results: null and empty texts have no words and match nothing; texts of any length are searched whole. Of equally similar windows the first counts.
+Repeated rows of docs are reported once per doc_id, repeated items per item_id; rows of a null doc_id or item_id are left out. Empty tables give no rows.
+Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +29,17 @@ PERCENT = 80
 SEND_ROWS = 2_000_000  # shingles of all items, at most sent to all executors
 
 
+def _words() -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def _shingled(df: DataFrame, id_: str) -> DataFrame:
     """id, __n words, __h: a hash for each shingle, in order; null without one.
 
     Neither a filter on __h nor a plain explode of it may follow: Spark would push a condition that holds all of __h, with the words
     split anew for each element, below the projections. posexplode_outer has no such condition.
     """
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    df = df.where(f"{id_} IS NOT NULL").select(id_, words.alias("__w"))
+    df = df.where(f"{id_} IS NOT NULL").select(id_, _words().alias("__w"))
     n, word = F.size("__w"), lambda i: F.get("__w", i)
     hashes = F.transform(F.sequence(F.lit(0), n - SIZE), lambda i: F.xxhash64(*[word(i + k) for k in range(SIZE)]))
     return df.select(id_, n.alias("__n"), F.when(n >= SIZE, hashes).alias("__h"))
@@ -63,6 +70,19 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SEND_ROWS else df
 
 
+def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, similarity: where the items of fewer than SIZE words stand."""
+    words = lambda df, id_: df.where(f"{id_} IS NOT NULL").select(id_, _words().alias("w"))
+    items = words(benchmark, "item_id").where(F.size("w").between(1, SIZE - 1)).select("item_id", F.size("w").alias("n"), F.xxhash64("w").alias("key"))
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most SIZE - 1
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start int, similarity bigint")
+    runs = [F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.lit(n).alias("n"), i.alias("start"), F.xxhash64(F.slice("w", i + 1, F.lit(n))).alias("key"))) for n in sizes]  # noqa: B023
+    runs = [F.when(F.size("w") >= n, r).otherwise(F.array().cast("array<struct<n:int,start:int,key:bigint>>")) for n, r in zip(sizes, runs, strict=True)]
+    found = words(docs, "doc_id").select("doc_id", F.inline_outer(F.concat(*runs)))
+    return found.join(_small(items, items.count()), ["n", "key"]).select("doc_id", "item_id", "start", F.lit(100).cast("bigint").alias("similarity"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (word of the document), similarity (per cent, rounded down) of each document and item that it holds:
     the most similar window, of those the first. docs: doc_id, text; benchmark: item_id, text."""
@@ -72,10 +92,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     anchors = materialize(items.select("n", F.posexplode_outer("h").alias("q", "key")).where("key IS NOT NULL").distinct(), "item-shingles")
     n_anchors = anchors.count()
 
-    places = _shingled(docs, "doc_id").select("doc_id", "__n", "__h", F.posexplode_outer("__h").alias("p", "key"))
-    hits = places.join(_small(anchors, n_anchors), "key")
+    shingled = _shingled(docs, "doc_id")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("__n") - F.col("n")))
-    hits = hits.select("doc_id", "n", start.alias("start"), "__n", "__h")
+    if n_anchors <= SEND_ROWS:
+        hits = shingled.select("doc_id", "__n", "__h", F.posexplode_outer("__h").alias("p", "key")).join(F.broadcast(anchors), "key")
+        hits = hits.select("doc_id", "n", start.alias("start"), "__n", "__h")
+    else:  # shingles are shuffled without the text that they are of; only texts with windows are joined to these
+        places = shingled.select("doc_id", "__n", F.posexplode_outer("__h").alias("p", "key")).where("key IS NOT NULL")
+        starts = materialize(places.join(anchors, "key").select("doc_id", "n", start.alias("start")).distinct(), "window-starts")
+        hits = shingled.join(starts, "doc_id").select("doc_id", "n", "start", "__n", "__h")
     window = F.slice("__h", F.col("start") + 1, F.greatest(F.least(F.col("n"), F.col("__n")) - SIZE + 1, F.lit(1)))
     windows = hits.select("doc_id", "n", "start", window.alias("h")).withColumn("w", F.xxhash64("h"))
     windows = materialize(windows.groupBy("doc_id", "n", "start", "w").agg(F.first("h").alias("h")), "windows")
@@ -97,5 +122,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = materialize(pairs.where(100 * F.col("both") >= PERCENT * union).select("n", "w", "item_id", F.floor(100 * F.col("both") / union).cast("long").alias("similarity")), "window-pairs")
 
     placed = windows.select("doc_id", "n", "start", "w").join(_small(pairs, pairs.count()), ["n", "w"])
+    placed = placed.select("doc_id", "item_id", "start", "similarity").unionByName(_short(docs, benchmark))
     best = placed.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.before")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))

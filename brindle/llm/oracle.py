@@ -65,7 +65,9 @@ own AS (SELECT item_id, n, g, count(*) AS c FROM items GROUP BY ALL),
 own_size AS (SELECT item_id, sum(c) AS size FROM own GROUP BY ALL),
 both_ AS (SELECT doc_id, item_id, n, start, sum(least(inside.c, own.c)) AS both_ FROM inside JOIN own USING (n, g) GROUP BY ALL),
 scored AS (SELECT doc_id, item_id, start, both_, sizes.size + own_size.size - both_ AS all_ FROM both_ JOIN sizes USING (doc_id, n, start) JOIN own_size USING (item_id)),
-good AS (SELECT doc_id, item_id, start, ((100 * both_) // all_)::BIGINT AS similarity FROM scored WHERE 100 * both_ >= 80 * all_)
+short AS (SELECT id AS item_id, len(w) AS n, w FROM words WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4),
+good AS (SELECT doc_id, item_id, start, ((100 * both_) // all_)::BIGINT AS similarity FROM scored WHERE 100 * both_ >= 80 * all_
+    UNION ALL SELECT d.id, item_id, p, 100 FROM (SELECT id, w, unnest(range(0, len(w))) AS p FROM words WHERE kind = 'd' AND EXISTS (FROM short)) d JOIN short ON d.w[p + 1:p + n] = short.w)
 SELECT doc_id, item_id, start::BIGINT AS start, similarity FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
 

@@ -10,18 +10,22 @@ Kinds are sought in turn (PASSES). Of a match that takes in what follows, the lo
 country's length before others); what is not replaced is text again, in which later kinds are sought. Runs of digits are tried from each of
 their groups; a part of a run has three digits a group on average at least, as most rows of short numbers hold a valid card by chance.
 
-Defined results: null text stays null, a text without such data stays as it is. All rows and columns are carried, whatever their names.
+Defined results: null text stays null, a text without such data stays as it is, a text of any length is searched whole. All rows, repeated ones too, and columns are
+carried, whatever their names; equal values get equal pseudonyms wherever they stand. An empty table gives no rows. Of two kinds that fit at one place the first of PASSES counts.
 Dates from 1600 to 2399 are permuted among themselves; others stay. dd/mm/yyyy comes before mm/dd/yyyy; dates that are only the latter
 (days beyond 12) are permuted among themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "set a secret key"
+KEY_CONF = "spark.brindle.pseudonym.key"  # of the session; never part of the code
 ROUNDS = 8
+_OWN: dict[str, str] = {}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: kind: pattern
 PATTERNS = {
@@ -45,6 +49,9 @@ IBAN_LENGTHS = {c: n for n, cs in {
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }.items() for c in cs.split()}
+#: Country codes of one and of two digits; all others have three.
+ONE_DIGIT_CODES = "^[17]"
+TWO_DIGIT_CODES = "^(?:20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _FIRST_DAY, _DAYS = "1600-01-01", 292194  # to 2399-12-31
 
@@ -147,11 +154,11 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """The country's code stays; it follows from the digits alone, so spellings of a number stay linked."""
     d = _digits(m)
     n = F.length(d)
-    country = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})[ .(-]", 1))
-    country = F.greatest(F.when(country > 0, country).otherwise(1), n - 18)
-    return _let(country, lambda c: _refilled(m, F.concat(d.substr(F.lit(1), c), _permuted(key, "phone", d.substr(c + 1, n)))))
+    country = F.when(d.rlike(ONE_DIGIT_CODES), 1).when(d.rlike(TWO_DIGIT_CODES), 2).otherwise(3)
+    return _let(F.greatest(country, n - 18), lambda c: _refilled(m, F.concat(d.substr(F.lit(1), c), _permuted(key, "phone", d.substr(c + 1, n)))))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -187,6 +194,13 @@ def _secret(m: Column, key: str) -> Column:
     return _let(name, lambda name: _let(m.substr(F.length(name) + 1, F.length(m)), lambda value: F.concat(name, _scrambled(key, "secret", value, value))))
 
 
+def _ssn(m: Column, key: str) -> Column:
+    """Numbers of valid form among themselves: what falls outside is permuted again until it falls inside."""
+    once = lambda d: _permuted(key, "ssn", d)
+    valid = lambda d: d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+    return _refilled(m, F.aggregate(F.sequence(F.lit(0), F.lit(63)), once(_digits(m)), lambda v, _: F.when(valid(v), v).otherwise(once(v))))
+
+
 def _day_first(m: Column, key: str) -> Column:
     return F.when(m.contains("."), _date(m, "dd.MM.yyyy", key)).when(m.substr(4, 2) > "12", _month_first(m, key)).otherwise(_date(m, "dd/MM/yyyy", key))
 
@@ -194,7 +208,7 @@ def _day_first(m: Column, key: str) -> Column:
 #: what stands for a valid value of a kind; a date that is none stays
 PSEUDONYMS = {
     "email": _email, "secret": _secret, "iban": _iban, "iso_date": lambda m, key: _date(m, "yyyy-MM-dd", key), "day_first": _day_first,
-    "ssn": lambda m, key: _refilled(m, _permuted(key, "ssn", _digits(m))), "ip": _ip, "phone": _phone, "national": lambda m, key: _refilled(m, _permuted(key, "national", _digits(m))),
+    "ssn": _ssn, "ip": _ip, "phone": _phone, "national": lambda m, key: _refilled(m, _permuted(key, "national", _digits(m))),
     "card_form": _card, "card": _card,
 }
 
@@ -279,8 +293,18 @@ def _searched(text: Column, kinds: tuple[str, ...], key: str) -> Column:
         F.struct(F.lit("").alias("text"), F.concat(a["out"], F.array(_piece(a["text"]), p)).alias("out"))), lambda a: F.concat(a["out"], F.array(_piece(a["text"]))))
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """All rows and columns of docs as __row (a struct), with __text, its text with pseudonyms, and __n, how many were put in."""
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's configuration holds. Without one, a random key of this application: pseudonyms then agree within it alone and
+    nobody can reverse them."""
+    known = spark.conf.get(KEY_CONF, None) or spark.sparkContext.getConf().get(KEY_CONF)
+    app = spark.sparkContext.applicationId
+    return known or _OWN.setdefault(app, secrets.token_hex(32))
+
+
+def pseudonymized(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
+    """All rows and columns of docs as __row (a struct), with __text, its text with pseudonyms, and __n, how many were put in. key: a secret; without it
+    that of the session."""
+    key = key or session_key(docs.sparkSession)
     df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     t = F.col(f"__row.{text}")
     some = t.rlike("[0-9@=:]|AKIA") & t.rlike(ANY)  # each pattern needs one of the former

@@ -55,7 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
-#: SQL expresses neither the pseudonyms nor the packing; tests/llm compares with a brute-force version.
+#: SQL expresses neither the pseudonyms nor the packing; tests/llm holds what stays against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -30,3 +30,16 @@ def test_values(spark):
     for (text, values, n), (new, found) in zip(CASES, got, strict=False):
         assert found == n and form(new) == form(text) and not any(v in new for v in values), (text, new, found)
     assert got[len(CASES) :] == [(x, 0) for x in KEPT]
+
+
+def test_forms_stay_valid_and_spellings_linked(spark):
+    rows = [f"{a:03d}-{b:02d}-{c:04d}" for a, b, c in [(k % 665 + 1, k % 99 + 1, k % 9999 + 1) for k in range(1500)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    new = [r["__text"] for r in pseudonymized(df, "a key").collect()]
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in new) and len(set(new)) == len(set(rows))
+    phones = ["+49 30 1234567", "+49-30-1234567", "+49301234567", "+1 (743) 555-3824", "+1 743 555 3824"]
+    df = spark.createDataFrame(list(enumerate(phones)), "doc_id long, text string")
+    digits = lambda key: [re.sub(r"\D", "", r["__text"]) for r in pseudonymized(df, key).orderBy("__row.doc_id").collect()]
+    one, two = digits("a key"), digits("another")
+    assert len(set(one[:3])) == 1 and len(set(one[3:])) == 1 and one[0].startswith("49") and one[3].startswith("1")
+    assert one[0] not in (re.sub(r"\D", "", phones[0]), two[0])

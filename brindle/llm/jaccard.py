@@ -19,6 +19,7 @@ rows. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from brindle.llm.components import connected_components
 from brindle.llm.shingles import shingles
 from brindle.llm.storage import discard, materialize
 
-COUNTER_BITS, SLICES, FANIN = 22, 64, 64  # counters of shingles: their number, parts in which tasks send them, tasks merged at once
+COUNTER_BITS, SLICES, FANIN = 24, 64, 64  # counters of shingles: their number, parts in which tasks send them, tasks merged at once
 TILE_DOCS, TILE_SHINGLES = 1024, 1 << 20
 BITMAP_WORDS = 32  # of 64 bits
 SEND_ROWS = 1_000_000  # of two longs, at most sent to all executors
@@ -111,7 +112,7 @@ def set_sizes(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]], names=names)
         if counts.any():
             task, none = TaskContext.get().partitionId(), pa.nulls(SLICES, pa.int64())
-            raw = [np.minimum(x, 65535).astype("<u2").tobytes() for x in np.split(counts, SLICES)]
+            raw = [zlib.compress(np.minimum(x, 65535).astype("<u2").tobytes(), 1) for x in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array([task] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(raw, pa.binary())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SETS)
@@ -122,7 +123,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, total = None, None
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.int32()), pa.array([at[0]], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], names=["task", "slice", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.int32()), pa.array([at[0]], pa.int32()), pa.array([zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)], pa.binary())], names=["task", "slice", "counts"])
 
     for b in batches:
         for task, part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -130,7 +131,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if at is not None:
                     yield done()
                 at, total = (part, task), np.zeros((1 << COUNTER_BITS) // SLICES, np.int64)
-            total += np.frombuffer(raw.as_py(), "<u2")
+            total += np.frombuffer(zlib.decompress(raw.as_py()), "<u2")
     if at is not None:
         yield done()
 
@@ -145,9 +146,9 @@ def frequency_levels(counters: DataFrame) -> np.ndarray:
         counters = counters.mapInArrow(_added, "task int, slice int, counts binary")
         if tasks == 1:
             break
-    sums = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.float64)
+    sums = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.float32)
     for r in counters.collect():
-        sums[r["slice"]] = np.frombuffer(r["counts"], "<u2")
+        sums[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u2")
     return (2 * np.log2(np.maximum(sums, 1))).astype(np.uint8).ravel()
 
 

@@ -1,21 +1,24 @@
 """Operator 2: main text of web pages, with removal of what a site repeats.
 
-Each page is parsed once, by a task that sees one page at a time, into blocks of text with the hashes of the element subtrees that
-hold them, and written to the shared folder. Spark counts each hash over the different pages of a host. Subtrees on at
-least LEAST_PAGES of them and on SHARE of all are the site's template; as each host has at most (elements of a page) / SHARE of
-those, the list by host is bounded. Blocks within such a subtree are left out.
-
-Content is all outermost articles and mains (or elements of role main) in page order, the body if these hold less than HELD of its text. Inside it go navigation, headers but for their headings,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by tag, role, visibility or the words of class
-and id. Character references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
-
-Defined results: null or empty html gives an empty text, as does a page without content. A null URL or one without a host takes no part
-in the counts. Copies of a page count once. Repeated rows are each returned; further columns are ignored.
+1. Each page is parsed by a task that sees one page at a time, and every block element of the whole page that holds text is hashed
+   with its subtree, before anything is judged by its name. Spark counts each hash over the different pages of a host. Subtrees on at least
+   LEAST_PAGES of them and on SHARE of all are the site's template; as each host has at most (elements of a page) / SHARE of those, the list by
+   host is bounded.
+2. The pages are parsed again beside their host's list, and these subtrees are deleted.
+3. Of what is left, content is all outermost articles and mains (or elements of role main) in page order, the body if these hold less than HELD of its text.
+   Inside it go navigation, headers but for their headings, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
+   known by tag, role, visibility or the words of class and id. Character references are decoded, white space inside a block becomes one space,
+   blocks are joined by \\n.
+
+Defined results: null or empty html gives an empty text, as does a page without content. Pages of any length and depth are taken whole, in memory linear in
+their length. A null URL or one without a host takes no part in the counts. Copies of a page count once. Repeated rows are each returned; further
+columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.storage import materialize
+from brindle.llm.storage import discard, materialize
 from brindle.llm.urls import host
 
 LEAST_PAGES, SHARE = 5, 0.4
@@ -35,8 +38,8 @@ HELD = 0.5  # of a body's text, without what looks unwanted
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = r"script|style|textarea|title|xmp|noembed|noframes"
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video map nav footer aside form button select textarea input label fieldset dialog menu menuitem title xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video map nav footer aside form button select textarea input dialog menu menuitem title xmp noembed noframes".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msup msub mfrac msqrt label a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: tag: (tags that its start closes, tags beyond which it does not reach)
@@ -50,6 +53,7 @@ NAMES = frozenset(
     " sponsored promo promos promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " recommendations comment comments disqus reply replies respond responses discussion toolbar pagination pager skip hidden copyright disclaimer teaser teasers form search".split()
 )
+HEADER_NAMES = frozenset(("header", "masthead"))
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rawattrs>(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<attrs>(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.I | re.S)
@@ -70,9 +74,14 @@ def parse(html: str) -> Element:
     root = Element("#root", {})
     stack, at = [root], 0
 
+    opened: Counter = Counter()  # so that the stack is not searched for what is not in it
+
     def close(tags, beyond=()) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
+                opened.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in beyond:
@@ -97,13 +106,15 @@ def parse(html: str) -> Element:
         stack[-1].children.append(node)
         if tag not in VOID and not m["attrs"].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     stack[-1].children.append(html[at:])
     return root
 
 
-def _named(node: Element) -> bool:
+def _named(node: Element) -> frozenset[str]:
+    """The words of its class and id that mark what is unwanted."""
     words = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return any(w.lower() in NAMES for w in _NAME.findall(words))
+    return NAMES.intersection(w.lower() for w in _NAME.findall(words))
 
 
 def _unwanted(node: Element) -> bool:
@@ -111,15 +122,22 @@ def _unwanted(node: Element) -> bool:
     return node.tag in DROPPED or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(a.get("style", "")))
 
 
-def _chars(node) -> int:
-    total, todo = 0, [node]
+def _below(root: Element) -> list[Element]:
+    """All elements, each before those in it."""
+    order, todo = [], [root]
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
-            total += len(x)
-        elif x.tag not in DROPPED:
-            todo += x.children
-    return total
+        order.append(x)
+        todo += [c for c in x.children if not isinstance(c, str)]
+    return order
+
+
+def _chars(root: Element) -> dict[int, int]:
+    """id of each element: characters in it, without elements that always go."""
+    out: dict[int, int] = {}
+    for x in reversed(_below(root)):
+        out[id(x)] = sum(len(c) if isinstance(c, str) else 0 if c.tag in DROPPED else out[id(c)] for c in x.children)
+    return out
 
 
 def _seen_chars(node: Element) -> int:
@@ -135,10 +153,11 @@ def _seen_chars(node: Element) -> int:
 
 
 def content(root: Element) -> Element:
-    tops, body, todo, limit = [], root, [(root, False)], MOSTLY * _chars(root)
+    chars = _chars(root)
+    tops, body, todo, limit = [], root, [(root, False)], MOSTLY * chars[id(root)]
     while todo:
         x, taken = todo.pop()
-        if isinstance(x, str) or x.tag in DROPPED or (x.tag not in ("html", "body") and (_unwanted(x) or (x.attrs and _named(x) and _chars(x) <= limit))):
+        if isinstance(x, str) or x.tag in DROPPED or (x.tag not in ("html", "body") and (_unwanted(x) or (x.attrs and _named(x) and chars[id(x)] <= limit))):
             continue
         main = x.tag == "main" or x.attrs.get("role", "").lower() == "main"
         if x.tag == "body" and body is root:
@@ -159,7 +178,8 @@ def content(root: Element) -> Element:
 def wanted(root: Element) -> Element:
     """The content without its unwanted elements."""
     top = content(root)
-    limit = MOSTLY * _chars(top)
+    chars = _chars(top)
+    limit = MOSTLY * chars[id(top)]
     todo = [(top, False)]
     while todo:
         x, inside = todo.pop()
@@ -169,25 +189,25 @@ def wanted(root: Element) -> Element:
                 if not inside:
                     kept.append(c)
                 continue
-            if _unwanted(c) or (c.attrs and _named(c) and c.tag not in HEADINGS and _chars(c) <= limit):
+            names = _named(c) if c.attrs and c.tag not in HEADINGS else ()
+            header = c.tag == "header" or (names and names <= HEADER_NAMES)
+            if _unwanted(c) or (names and not names <= HEADER_NAMES and chars[id(c)] <= limit):
                 continue
+            header = header and chars[id(c)] <= limit
             if inside and c.tag in HEADINGS:
                 kept.append(c)
                 todo.append((c, False))
             else:
                 kept.append(c)
-                todo.append((c, inside or c.tag == "header"))
+                todo.append((c, inside or header))
         x.children = kept
     return top
 
 
-def hashes(top: Element) -> dict[int, int]:
-    """id of an element: hash of its subtree, of tags and words, for the elements below top that have text."""
-    out, order, todo = {}, [], [top]
-    while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += [c for c in x.children if not isinstance(c, str)]
+def hashes(root: Element) -> dict[int, int]:
+    """id of an element: hash of its subtree, of tags and words, for the block elements below root that have text."""
+    own: dict[int, int] = {}
+    order = _below(root)
     for x in reversed(order):
         h, any_text = xxhash.xxh64(x.tag), False
         for c in x.children:
@@ -195,23 +215,33 @@ def hashes(top: Element) -> dict[int, int]:
                 if words := unescape(c).split():
                     h.update(" ".join(words))
                     any_text = True
-            elif id(c) in out:
-                h.update(out[id(c)].to_bytes(8, "little"))
+            elif id(c) in own:
+                h.update(own[id(c)].to_bytes(8, "little"))
                 any_text = True
         if any_text:
-            out[id(x)] = h.intdigest()
-    out.pop(id(top), None)
-    return {k: v - (1 << 64) if v >> 63 else v for k, v in out.items()}
+            own[id(x)] = h.intdigest()
+    blocks_ = (x for x in order if x is not root and id(x) in own and x.tag not in INLINE and x.tag not in ("html", "body"))
+    return {id(x): own[id(x)] - (1 << 64) if own[id(x)] >> 63 else own[id(x)] for x in blocks_}
 
 
-def blocks(top: Element) -> list[tuple[str, list[int]]]:
-    """Each block's text, and the hashes of the block elements below top that hold it."""
-    own = hashes(top)
-    out, line, path = [], [], []
+def without(root: Element, template: set[int]) -> Element:
+    """The tree without the subtrees of these hashes. Repeated elements that always go need no deletion."""
+    own = hashes(root)
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        x.children = [c for c in x.children if isinstance(c, str) or own.get(id(c)) not in template]
+        todo += [c for c in x.children if not isinstance(c, str)]
+    return root
+
+
+def blocks(top: Element) -> list[str]:
+    """Each block's text."""
+    out, line = [], []
 
     def end() -> None:
         if words := unescape("".join(line)).split():
-            out.append((" ".join(words), path.copy()))
+            out.append(" ".join(words))
         line.clear()
 
     todo: list = list(reversed(top.children))
@@ -219,7 +249,6 @@ def blocks(top: Element) -> list[tuple[str, list[int]]]:
         x = todo.pop()
         if x is None:
             end()
-            path.pop()
         elif isinstance(x, str):
             line.append(x)
         elif x.tag == "br":
@@ -228,33 +257,40 @@ def blocks(top: Element) -> list[tuple[str, list[int]]]:
             todo += reversed(x.children)
         else:
             end()
-            path.append(own.get(id(x), 0))
             todo += [None, *reversed(x.children)]
     end()
     return out
 
 
-def page_blocks(html: str | None) -> list[tuple[str, list[int]]]:
-    return blocks(wanted(parse(html))) if html else []
+def page_blocks(html: str | None, template: set[int] | None = None) -> list[str]:
+    if not html:
+        return []
+    root = parse(html)
+    return blocks(wanted(without(root, template) if template else root))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "host", "digest", "blocks"]
-    kind = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))]))
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 256):
             part, digest, found = b.slice(k, 256), [], []
-            for h in part.column(3):
-                own = page_blocks(h.as_py())
-                found.append([{"text": t, "within": w} for t, w in own])
-                digest.append(xxhash.xxh64_intdigest("\n".join(t for t, _ in own)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digest, pa.int64()), pa.array(found, kind)], names=names)
+            for h in part.column(1):
+                html = h.as_py() or ""
+                found.append(list(set(hashes(parse(html)).values())))
+                digest.append(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "digest", "hashes"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            own = ["\n".join(page_blocks(h.as_py(), set(t or ()))) for h, t in zip(part.column(2), part.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(own, pa.string())], names=["page_id", "url", "text"])
 
 
-def templates(parsed: DataFrame) -> DataFrame:
-    """host and the hashes of its template's subtrees, of host, digest, blocks."""
-    held = F.array_distinct(F.flatten("blocks.within"))
-    seen = parsed.where("host <> ''").select("host", "digest", held.alias("hashes")).groupBy("host", "digest").agg(F.first("hashes").alias("hashes"))
+def templates(hashed: DataFrame) -> DataFrame:
+    """host and the hashes of its template's subtrees, of host, digest, hashes."""
+    seen = hashed.where("host <> ''").dropDuplicates(["host", "digest"])
     n_pages = seen.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {LEAST_PAGES}")
     counts = seen.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}")
     return counts.join(n_pages, "host").where(f"n >= {SHARE} * pages").groupBy("host").agg(F.collect_list("hash").alias("template"))
@@ -262,11 +298,10 @@ def templates(parsed: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
-    ddl = "page_id bigint, url string, host string, digest bigint, blocks array<struct<text:string,within:array<bigint>>>"
-    parsed = materialize(pages.select("page_id", "url", host(F.col("url")).alias("host"), "html").mapInArrow(_blocks, ddl), "page-blocks")
-    found = materialize(templates(parsed), "templates")
+    pages = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    hashed = materialize(pages.where("html IS NOT NULL AND host <> ''").select("host", "html").mapInArrow(_hashed, "host string, digest bigint, hashes array<bigint>"), "page-hashes")
+    found = materialize(templates(hashed), "templates")
+    discard(hashed)
     found = F.broadcast(found) if found.count() <= SEND_HOSTS else found
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["within"], F.col("template")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    out = parsed.join(found, "host", "left").select("page_id", "url", text.alias("text"))
+    out = pages.join(found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(_texts, "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -22,9 +22,10 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
-def clean(cell: Column, composed: bool = True) -> Column:
-    """Trimmed; composed=False brings text of other than ASCII characters into normal form C, through Arrow."""
-    return strip(cell if composed else F.when(cell.rlike("[^\\x00-\\x7F]"), _nfc(cell)).otherwise(cell))
+def clean(cell: Column) -> Column:
+    """In normal form C and trimmed. Only text of other than ASCII characters goes through Arrow."""
+    other = cell.rlike("[^\\x00-\\x7F]")
+    return strip(F.when(other, _nfc(F.when(other, cell))).otherwise(cell))
 
 
 def decimal(cell: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from unicodedata import normalize
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.numbers import clean, decimal, mean40, number_error, render
-from brindle.functions.text import MISSING_FORMULA
+from brindle.functions.text import MISSING_FORMULA, strip
 
 OPERATIONS = ("count", "sum", "mean", "min", "max", "group_count", "group_sum")
 COMPARE = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
@@ -46,7 +48,7 @@ def cell(i: int) -> Column:
 
 
 def condition(c: Condition) -> Column:
-    left, right = clean(cell(c.column)), clean(F.lit(c.value))
+    left, right = clean(cell(c.column)), strip(F.lit(normalize("NFC", c.value)))
     if c.operator in COMPARE:
         return getattr(decimal(cell(c.column)), COMPARE[c.operator])(decimal(F.lit(c.value)))
     return {"eq": left == right, "ne": left != right, "contains": F.contains(left, right)}[c.operator]

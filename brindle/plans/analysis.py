@@ -86,9 +86,10 @@ def scl05_render(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scl16_wn04_row_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    c = t.row_chunks(table_cells(spark, sf, "part"), table(spark, sf, "part").columns, "part")
+    columns = table(spark, sf, "part").columns
+    c = t.row_chunks(table_cells(spark, sf, "part"), columns, "part")
     n = F.col("row_number")
-    return c.select("row_index", F.md5("content").alias("content"), F.concat(F.lit("A"), n.cast("string"), F.lit(":"), column_letter(n), n.cast("string")).alias("cell_range"))
+    return c.select("row_index", F.md5("content").alias("content"), F.concat(F.lit("A"), n.cast("string"), F.lit(":"), column_letter(F.lit(len(columns))), n.cast("string")).alias("cell_range"))
 
 
 def ag15_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,8 +146,7 @@ SQL = {
     "scl05_render": f"SELECT p_partkey, {_NUM.format('p_retailprice::DECIMAL(18,2)')} AS price FROM part",
     "scl16_wn04_row_chunks": f"""WITH r AS (SELECT p_partkey AS i, p_partkey + 2 AS n, {_PCELLS} AS c FROM part)
       SELECT i AS row_index, md5('part' || chr(10) || 'p_partkey | p_name | p_brand | p_type | p_size | p_retailprice' || chr(10) || array_to_string(c, ' | ')) AS content,
-      'A' || n || ':' || CASE WHEN n <= 26 THEN chr((64 + n)::INTEGER) WHEN n <= 702 THEN chr((64 + (n - 1) // 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER)
-        ELSE chr((65 + (n - 703) // 676)::INTEGER) || chr((65 + (n - 703) // 26 % 26)::INTEGER) || chr((65 + (n - 703) % 26)::INTEGER) END || n AS cell_range FROM r""",
+      'A' || n || ':F' || n AS cell_range FROM r""",
     "ag15_catalog": " UNION ALL ".join(f"SELECT '{n}' AS table_id, {len(c)}::BIGINT AS column_count, (SELECT count(*) FROM {n}) AS row_count, '{', '.join(f'{i + 1}. {x}' for i, x in enumerate(c))}' AS columns" for n, c in {
         "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(), "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(),
         "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split()}.items()),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.text import caption_kind
 from brindle.operators import evidence, layout
 from brindle.plans import corpus, retrieval
 from brindle.sources import views
@@ -68,7 +69,7 @@ def snk04_export(spark: SparkSession, sf: str) -> DataFrame:
 def jn10_nearby(spark: SparkSession, sf: str) -> DataFrame:
     b = corpus._blocks(spark, sf)
     regions = b.where("line_no % 7 = 2").withColumn("region", F.col("block_no"))
-    return layout.nearby(regions, b.where(~F.col("text").rlike("(?i)^(?:fig(?:ure)?|table)")).select("doc", "page", "x0", "y0", "x1", "y1", "text")).select("doc", "page", "region", F.md5("nearby").alias("nearby"))
+    return layout.nearby(regions, b.where(caption_kind(F.col("text")).isNull()).select("doc", "page", "x0", "y0", "x1", "y1", "text")).select("doc", "page", "region", F.md5("nearby").alias("nearby"))
 
 
 def jn11_outside(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +124,7 @@ SQL = {
     "snk03_snapshot": """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS digest FROM documents""",
     "snk04_export": f"""{_BM}, a AS (SELECT query_id, string_agg('[' || rank || '] ' || chunk_id, chr(10) ORDER BY rank) AS t FROM bm WHERE rank <= 3 GROUP BY 1) SELECT query_id, text || chr(10) || chr(10) || t AS text FROM a JOIN benchmark ON item_id = query_id""",
     "jn10_nearby": f"""WITH {_B}, n AS (SELECT r.doc, r.page, r.block_no AS region, c.text, c.y0, greatest(0, c.y0 - r.y1, r.y0 - c.y1) AS d FROM blocks r JOIN blocks c USING (doc, page)
-        WHERE r.i % 7 = 2 AND NOT regexp_matches(c.text, '(?i)^(fig(ure)?|table)') AND least(r.x1, c.x1) > greatest(r.x0, c.x0)),
+        WHERE r.i % 7 = 2 AND NOT regexp_matches(c.text, '(?i)^((fig(ure)?\\.?|table)\\s*[0-9]+|[图表]\\s*[0-9]+)') AND least(r.x1, c.x1) > greatest(r.x0, c.x0)),
       k AS (SELECT * FROM n WHERE d < 180 QUALIFY row_number() OVER (PARTITION BY doc, page, region ORDER BY d, y0, encode(text)) <= 3)
       SELECT doc, page, region, md5(left(string_agg(text, chr(10) ORDER BY y0), 1800)) AS nearby FROM k GROUP BY 1, 2, 3""",
     "jn11_outside": f"""WITH {_B} SELECT doc, i AS line_no FROM blocks b WHERE i % 5 = 0 AND NOT EXISTS (SELECT 1 FROM blocks h WHERE h.i % 6 = 1 AND h.doc = b.doc AND h.page = b.page AND h.x0 >= b.x0 AND h.y0 >= b.y0 AND h.x1 <= b.x1 AND h.y1 <= b.y1 + 30)""",

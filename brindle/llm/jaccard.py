@@ -1,11 +1,11 @@
 """Operator 10: n-gram Jaccard join, exact, by size-banded tiles with bitmap signatures.
 
 1. Documents of equal shingle sets are one class, of which the smallest doc_id goes on.
-2. Candidates. Two sets that link differ in at most d shingles, d known from the larger size. Hash space is cut into more than d
-   ranges, so linked sets agree wholly in one range at least: the shingles of each range make a key, and documents that share a key
-   are candidates. Ranges depend on a size class (ratio CLASS), so a set near the end of its class takes the next one's too.
-   Ranges of fewer than two shingles say little and are left out by a set that has few of them; so many more ranges are taken
-   that no link is lost. Each document is tied to the first one of each of its keys, first within a part of a task, so that a key sends one row from there.
+2. Candidates. A set that links shares at least need = ceil(n num / den) of its n shingles with one other, so a document fewer of whose shingles occur
+   elsewhere links with nothing. Each shingle goes once through a shuffle, in packed buckets of hash space (4 bytes, and about one for its document);
+   a shingle repeated within a flush is known as shared there and sends one hash. Hashes are cut to 32 bits and those of the bucket: a collision can
+   only keep a document. For those left, shingles are counted exactly and put in one order, rare ones first: two sets that link
+   have the first shingle they share among their first n - need + 1, whatever the order. Each document is tied to the first one of each such shingle.
 3. Candidates that hang together are dealt to tiles: up to TILE_DOCS documents and TILE_SHINGLES shingles, all of one size band where a
    group is larger. Each tile, and each pair of tiles whose bands can link, is one unit of work in which size and
    the bit counts of hashed bitmaps bound the overlap from above, and sorted arrays give it exactly. Pairs already connected
@@ -26,60 +26,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.components import connected_components
-from brindle.llm.shingles import mix, shingles
+from brindle.llm.shingles import shingles
 from brindle.llm.storage import materialize
 
-CLASS = 1.25  # ratio of a size class's ends
+FLUSH, BUCKET = 1 << 21, 1 << 21  # shingles that a task sends at once, and those of a bucket on average
 TILE_DOCS, TILE_SHINGLES = 1024, 1 << 20
 BITMAP_WORDS = 32  # of 64 bits
 SEND_ROWS = 1_000_000  # of two longs, at most sent to all executors
-WEAK = 2  # shingles that a range needs
 
 
 def linked(inter, a, b, num: int, den: int):
     return den * inter >= num * (a + b - inter)
 
 
-def _class_of(n: int) -> int:
-    return max(0, math.ceil(math.log(n) / math.log(CLASS) - 1e-9))
-
-
-def _top(c: int) -> int:
-    """The largest size of class c."""
-    return math.floor(CLASS**c + 1e-6)
-
-
-def _ranges(c: int, num: int, den: int) -> tuple[int, int]:
-    """Number of ranges of class c, and how many weak ones a set may leave out. Sizes a + b <= 2 top differ in (a + b)(den - num) / (den + num) at most."""
-    most = 2 * _top(c) * (den - num) // (den + num)
-    spare = 1 + most // 5
-    return most + 1 + spare, spare
-
-
-def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set, for the classes of all sets of its size up to den / num times as many."""
-    n = len(s)
-    out = []
-    for c in range(_class_of(n), _class_of(max(n, n * den // num)) + 1):
-        k, spare = _ranges(c, num, den)
-        if k == 1 + spare:  # no difference allowed: such sets are one class already
-            continue
-        part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        edges = np.searchsorted(part, np.arange(k, dtype=np.uint64))
-        sizes = np.diff(np.append(edges, n))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(s))))
-        total = sums[edges + sizes] - sums[edges]
-        tag = (np.arange(k, dtype=np.uint64) << np.uint64(8)) + np.uint64(c)
-        made = mix(total * np.uint64(0xC2B2AE3D27D4EB4F) + mix(tag))
-        weak = sizes < WEAK
-        out.append(made[~weak] if weak.sum() <= spare else made)
-    return np.concatenate(out) if out else s[:0]
-
-
 def bitmap(s: np.ndarray) -> np.ndarray:
     out = np.zeros(BITMAP_WORDS * 64, np.uint8)
     out[s % np.uint64(BITMAP_WORDS * 64)] = 1
@@ -134,6 +97,121 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SEND_ROWS else df
 
 
+def _rows(names: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names[k], t) for k, t in kinds.items()], names=list(kinds))
+
+
+def _pack(ids: np.ndarray) -> bytes:
+    """Differences of ids, byte by byte of all: what is left of small ones compresses well."""
+    return np.diff(ids, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values of h occur more than once, and these values."""
+    order = np.argsort(h)
+    at = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]]))) if len(h) else np.zeros(0, np.int64)
+    long = np.diff(np.append(at, len(h)))
+    out = np.zeros(len(h), bool)
+    out[order] = np.repeat(long > 1, long)
+    return out, h[order[at[long > 1]]]
+
+
+_SENT = {"bucket": pa.int64(), "docs": pa.binary(), "hashes": pa.binary(), "common": pa.binary(), "doc": pa.int64(), "n": pa.int64()}
+
+
+def _flushed(ids: list[int], sets: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets: documents and hashes that occur once here, and hashes that are common here. Rows doc, n: common shingles of a document."""
+    h, doc = np.concatenate(sets), np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
+    again, common = _repeated(h)
+    which, times = np.unique(doc[again], return_counts=True)
+    place = lambda x: (x >> np.uint64(64 - bits)).astype(np.int64)
+    short = lambda x: (x >> np.uint64(32 - bits)).astype(np.uint32)
+    h, doc = h[~again], doc[~again]
+    order = np.argsort(place(h), kind="stable")
+    h, doc = h[order], doc[order]
+    mine, theirs = place(h), place(common)
+    buckets = np.unique(np.concatenate((mine, theirs)))
+    cut, cut_common = np.append(np.searchsorted(mine, buckets), len(h)), np.append(np.searchsorted(theirs, buckets), len(common))
+    h, common, span = short(h), short(common), range(len(buckets))
+    yield _rows({
+        "bucket": buckets, "docs": [_pack(doc[cut[k]:cut[k + 1]]) for k in span], "hashes": [h[cut[k]:cut[k + 1]].tobytes() for k in span],
+        "common": [common[cut_common[k]:cut_common[k + 1]].tobytes() for k in span], "doc": [None] * len(buckets), "n": [None] * len(buckets)}, _SENT)
+    none = [None] * len(which)
+    yield _rows({"bucket": which % (1 << bits), "docs": none, "hashes": none, "common": none, "doc": which, "n": times}, _SENT)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket. doc, n: that many shingles of the document are shared. Rows doc, n made before pass."""
+    at, parts = None, []
+    kinds = {"doc": pa.int64(), "n": pa.int64()}
+
+    def done() -> pa.RecordBatch:
+        docs, hashes, common = (np.concatenate(x) for x in zip(*parts, strict=True))
+        again, _ = _repeated(np.concatenate((hashes, common)))
+        which, times = np.unique(docs[again[: len(docs)]], return_counts=True)
+        return _rows({"doc": which, "n": times}, kinds)
+
+    for b in batches:
+        made = b.column(4).is_valid()
+        yield b.filter(made).select(["doc", "n"])
+        b = b.filter(pa.compute.invert(made))
+        for bucket, *raw in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
+            if bucket != at:
+                if parts:
+                    yield done()
+                at, parts = bucket, []
+            docs, hashes, common = (x.as_py() for x in raw)
+            parts.append((_unpack(docs), np.frombuffer(hashes, np.uint32), np.frombuffer(common, np.uint32)))
+    if parts:
+        yield done()
+
+
+def candidates(docs: DataFrame, sizes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Edges u, v among docs (doc_id, text; ids not null): documents that link hang together. sizes: doc_id, n_shingles of docs."""
+    total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = max(1, math.ceil(math.log2(max(1, total / BUCKET))))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, held = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingles(t.as_py(), size)
+                if len(s):
+                    ids.append(i)
+                    sets.append(s)
+                    held += len(s)
+                if held >= FLUSH:
+                    yield from _flushed(ids, sets, bits)
+                    ids, sets, held = [], [], 0
+        if held:
+            yield from _flushed(ids, sets, bits)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingles(t.as_py(), size)
+                n = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, -(-num * n // den), np.int64))], names=["h", "doc", "need"])
+
+    packed = docs.mapInArrow(sent, "bucket bigint, docs binary, hashes binary, common binary, doc bigint, n bigint")
+    counted = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "doc bigint, n bigint").groupBy("doc").agg(F.sum("n").alias("n"))
+    able = sizes.join(counted, sizes["doc_id"] == counted["doc"]).where(den * F.col("n") >= num * F.col("n_shingles"))
+    able = materialize(able.select("doc_id").distinct(), "jaccard-able")
+    left = docs.join(_small(able, able.count()), "doc_id", "left_semi")
+    found = materialize(left.mapInArrow(pairs, "h bigint, doc bigint, need bigint"), "jaccard-shingles")
+    often = found.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
+    whole = Window.partitionBy("doc")
+    first = found.join(often, "h").select(
+        "h", "doc", F.row_number().over(whole.orderBy("often", "h")).alias("place"), F.count("*").over(whole).alias("shared"), F.min("need").over(whole).alias("need"))
+    first = materialize(first.where("place <= shared - need + 1").select("h", "doc"), "jaccard-firsts")
+    least = first.groupBy("h").agg(F.min("doc").alias("v"))
+    return first.join(least, "h").where("doc <> v").select(F.col("doc").alias("u"), "v")
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): sets link when den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
@@ -143,44 +221,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     out = known.where("rep <> doc_id OR n_shingles = 0").select("doc_id")
     alone = docs.where("doc_id IS NOT NULL").join(_small(out, out.count()), "doc_id", "left_anti")
 
-    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first document of each key in a part of the task, v null, and the ties of the others to it."""
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                ids, made = b.column(0).slice(k, 1024).to_numpy(), []
-                for t in b.column(1).slice(k, 1024):
-                    s = shingles(t.as_py(), size)
-                    made.append(keys(s, num, den) if len(s) else s)
-                key, doc = np.concatenate(made), np.repeat(ids, [len(x) for x in made])
-                order = np.argsort(key, kind="stable")
-                key, doc = key[order], doc[order]
-                new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-                first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-                tied = np.unique(np.stack([doc, first])[:, doc != first], axis=1)
-                key, doc = key[new].view(np.int64), doc[new]
-                v = pa.concat_arrays([pa.nulls(len(key), pa.int64()), pa.array(tied[1])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, tied[0]))), pa.array(np.concatenate((doc, tied[0]))), v], names=["key", "u", "v"])
-
-    def first_of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key: each document is tied to the first one of its key. Ties made before pass."""
-        last, first = None, None
-        for b in batches:
-            tied = b.column(2).is_valid()
-            made = b.filter(tied)
-            yield pa.RecordBatch.from_arrays(made.columns[1:], names=["u", "v"])
-            b = b.filter(pa.compute.invert(tied))
-            if not b.num_rows:
-                continue
-            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            to = np.where(at >= 0, doc[np.maximum(at, 0)], first if first is not None else 0)
-            last, first = key[-1], to[-1]
-            tied = np.unique(np.stack([doc, to])[:, doc != to], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(tied[0]), pa.array(tied[1])], names=["u", "v"])
-
-    rows = alone.mapInArrow(key_rows, "key bigint, u bigint, v bigint")
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(first_of_key, "u bigint, v bigint")
+    edges = candidates(alone, known.where("rep = doc_id AND n_shingles > 0").select("doc_id", "n_shingles"), size, num, den)
     near = connected_components(edges)
 
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num)).cast("int")

@@ -1,9 +1,10 @@
-"""The Jaccard join on given documents against brute force, and its keys against their promise."""
+"""The Jaccard join on given documents against brute force, and its candidates against their promise."""
 
 import numpy as np
 import pytest
 
 from brindle.llm import jaccard
+from brindle.llm.components import connected_components
 from brindle.llm.shingles import shingles
 from brindle.llm.tables import ship
 
@@ -25,12 +26,26 @@ def test_given_documents(spark, size, num):
     assert got == {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_linked_sets_share_a_key():
-    dice = np.random.default_rng(1)
-    for _ in range(300):
-        pool = np.unique(dice.integers(0, 1 << 63, 80).astype(np.uint64) * np.uint64(2))
-        a, b = (np.sort(dice.permutation(pool)[: dice.integers(1, len(pool))]) for _ in range(2))
-        b = np.union1d(b, a[: int(len(a) * dice.random())])
-        both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if 100 * both >= 80 * either and both < either:
-            assert set(jaccard.keys(a, 80, 100)) & set(jaccard.keys(b, 80, 100))
+def test_linked_sets_hang_together(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(jaccard, "BUCKET", 64)
+    dice, rows = np.random.default_rng(1), []
+    for _ in range(400):
+        words = dice.integers(0, 40, dice.integers(3, 60)).tolist()
+        for copy in range(3):
+            changed = [w if dice.random() > 0.01 * copy else -1 for w in words]
+            rows.append((len(rows), " ".join(f"w{w}" for w in changed)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").dropDuplicates(["text"]).cache()
+    texts = dict(docs.collect())
+    sets = {i: {int(x) for x in shingles(t, 4)} for i, t in texts.items()}
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "doc_id bigint, n_shingles bigint")
+    near = {r.node: r.component for r in connected_components(jaccard.candidates(docs, sizes, 4, 80, 100)).collect()}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(linked) > 50
+    assert all(near[a] == near[b] for a, b in linked)
+    assert len(near) < len(sets)
+
+
+def test_packed_ids():
+    for ids in ([], [5], [9, 3, 1 << 62, -(1 << 62), 3]):
+        assert jaccard._unpack(jaccard._pack(np.array(ids, np.int64))).tolist() == ids

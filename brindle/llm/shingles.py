@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 400_000
-_CACHE: dict[bytes, int] = {}
+CACHE_WORDS = 100_000
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

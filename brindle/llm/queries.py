@@ -74,10 +74,28 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("__row.doc_id", F.col("__text").alias("text"), F.col("__n").alias("n_replaced"))
 
 
+def op11_variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.alignment import alignment_digest
+
+    return alignment_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.fingerprints import neighbours
+
+    return neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_html_extraction, op3_quality_rules, op4_url_filters, op5_token_counts, op6_language_id, op7_packing, op8_suffix_array_dedup, op9_pii,
-        op10_ngram_jaccard_join,
+        op10_ngram_jaccard_join, op11_variant_groups, op12_tokenizer_alignment, op13_document_fingerprints,
     )
 }

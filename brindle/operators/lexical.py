@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokenize
+from brindle.operators.sizes import sent
 
 PLACES = 9  # sums of floats depend on their order: scores are rounded before they are ranked
 
@@ -49,7 +50,34 @@ def bm25(chunks: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.
     return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)), PLACES).alias("score"))
 
 
-def top(scored: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_id") -> DataFrame:
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """collection, document, chunk_id, length, term, tf of chunks (collection, document, chunk_id, tokens): the postings of an index whose chunks were
+    tokenized once. A chunk's tokens meet within its task, so only counts are shuffled."""
+    rows = chunks.select("collection", "document", "chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    return rows.groupBy("collection", "document", "chunk_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
+def scores(postings: DataFrame, lengths: DataFrame, terms: DataFrame, by: tuple[str, ...] = ("collection",), kept: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, the columns by, chunk_id, score by a written index: postings (by, chunk_id, length, term, tf), lengths (by, length) of all chunks. Each
+    value of by is a corpus of its own; by=() takes all as one. terms: query_id, by, term. kept: chunk_id of the chunks that may be found; statistics
+    cover all."""
+    if k1 <= 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must be positive and b between 0 and 1")
+    terms = sent(terms)
+    on = [*by, "term"]
+    stats = lengths.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.avg("length").alias("average_length"))
+    found = postings.join(sent(terms.select(*on).distinct()), on)
+    weights = found.groupBy(*on).agg(F.count("*").alias("df"))
+    # one row for each term of the questions, whatever the corpus: what a posting needs of its corpus is joined here
+    weights = weights.join(stats, list(by)) if by else weights.crossJoin(F.broadcast(stats))
+    weights = weights.select(*on, F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.when(F.col("average_length") > 0, F.col("average_length")).otherwise(1.0).alias("average"))
+    found = found if kept is None else found.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    norm = 1 - b + b * F.col("length") / F.col("average")
+    return found.join(sent(terms.join(weights, on)), on).groupBy("query_id", *by, "chunk_id").agg(
+        F.round(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)), PLACES).alias("score"))
+
+
+def top(scored: DataFrame, k: int, by: str | tuple[str, ...] = "query_id", tie: str = "chunk_id") -> DataFrame:
     """The k best of each question, rank from 1; ties in order of id. Spark keeps k rows of a question in each task before the shuffle."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(tie))
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc("score"), F.asc(tie))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

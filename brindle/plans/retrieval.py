@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokenize
 from brindle.operators import lexical, ranking, vectors
-from brindle.sources import views
+from brindle.sources import snapshots, views
 
 K, CANDIDATES = 10, 20
 
@@ -30,8 +32,39 @@ def ag05_corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.corpus_statistics(views.chunks(spark, sf)).withColumn("average_length", F.round("average_length", 6))
 
 
+def _indexed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return snapshots.read(spark, views.index(spark, sf), name)
+
+
 def _bm25(spark: SparkSession, sf: str, k: int, keep=None) -> DataFrame:
-    return lexical.top(lexical.bm25(views.chunks(spark, sf), views.questions(spark, sf), keep=keep), k)
+    chunks = _indexed(spark, sf, "chunks")
+    terms, lengths = lexical.query_terms(views.questions(spark, sf)), chunks.select(F.size("tokens").alias("length"))
+    return lexical.top(lexical.scores(_indexed(spark, sf, "postings"), lengths, terms, by=(), kept=None if keep is None else chunks.where(keep)), k)
+
+
+def jn03_ag06_collection_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """Each question in each collection: every collection has its own statistics and its own ten best."""
+    chunks = _indexed(spark, sf, "chunks")
+    collections = chunks.select("collection").distinct()
+    terms = lexical.query_terms(views.questions(spark, sf)).join(collections, F.lit(True))
+    found = lexical.scores(_indexed(spark, sf, "postings"), chunks.select("collection", F.size("tokens").alias("length")), terms)
+    ranked = lexical.top(found, K, by=("query_id", "collection"))
+    return ranked.select("collection", "query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def pl05_snk01_reindex(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all documents in which the tenth whose ids end in 3 is replaced by new texts: its chunks, and how often their words occur."""
+    path = f"{snapshots.shared_root(spark)}/reindex-{uuid.uuid4().hex}"
+    docs = views.table(spark, sf, "documents").where("source IS NOT NULL")
+    first = views.index_tables(views.chunked(docs), f"{path}/first")
+    snapshots.replace_documents(path, first["chunks"], first)
+    changed = docs.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("Revised. "), F.reverse("text")))
+    new = views.index_tables(views.chunked(changed), f"{path}/second")
+    registered = docs.select(F.col("source").alias("collection"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("document"))
+    version = snapshots.replace_documents(path, registered.where("document LIKE '%3'"), new, expected=1, known=registered)
+    n = snapshots.read(spark, path, "postings", version).groupBy("chunk_id").agg(F.sum("tf").alias("n_tokens"))
+    chunks = snapshots.read(spark, path, "chunks", version)
+    return chunks.join(n, "chunk_id", "left").select("chunk_id", "collection", F.md5("content").alias("content"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -71,7 +104,7 @@ def jn04_tk02_dense_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def _embedded(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """UD-01: dense search over the default text embedding."""
-    c = vectors.embedded(views.chunks(spark, sf), "chunk_id", tokenize(F.concat_ws("\n", "section", "content")))
+    c = vectors.embedded(_indexed(spark, sf, "chunks"), "chunk_id", F.col("tokens"))
     q = vectors.embedded(views.questions(spark, sf), "query_id", tokenize(F.col("question")))
     return vectors.dense_top(c, q, k)
 
@@ -90,13 +123,13 @@ def ag07_so01_tk07_wn06_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tk03_ud03_hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(ranking.rerank(_fused(spark, sf), views.questions(spark, sf), views.chunks(spark, sf), K))
+    return _shown(ranking.rerank(_fused(spark, sf), views.questions(spark, sf), _indexed(spark, sf, "chunks"), K))
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, chunk_id: chunks with a passage's first 60 characters. Passages are few and short, and go to all executors."""
     q = views.questions(spark, sf).select("query_id", F.left("question", F.lit(60)).alias("start"))
-    return views.chunks(spark, sf).join(F.broadcast(q), F.contains("content", "start")).select("query_id", "chunk_id")
+    return _indexed(spark, sf, "chunks").join(F.broadcast(q), F.contains("content", "start")).select("query_id", "chunk_id")
 
 
 def ag18_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +157,7 @@ def jn14_gold_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scl01_tokenize, scl02_wn03_chunks, ag04_postings, ag05_corpus_statistics, jn03_ag06_tk01_bm25, flt01_filtered_bm25, scl09_normalized, jn04_tk02_dense, jn04_tk02_dense_all, ud01_embedding,
-    ag07_so01_tk07_wn06_hybrid, tk03_ud03_hybrid_rerank, ag18_metrics, ag19_ag20_pl03_benchmark, jn14_gold_validation,
+    jn03_ag06_collection_bm25, pl05_snk01_reindex, ag07_so01_tk07_wn06_hybrid, tk03_ud03_hybrid_rerank, ag18_metrics, ag19_ag20_pl03_benchmark, jn14_gold_validation,
 )}
 
 # ---- the same in SQL ----
@@ -155,6 +188,16 @@ scored AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.
   FROM qt JOIN tfs USING (term) JOIN df USING (term) CROSS JOIN st WHERE {{keep}} GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"""
 _ALL = _BM25.format(keep="true")
+_BY_COLLECTION = f"""
+tok AS (SELECT chunk_id, collection, {tokens("section || ' ' || content")} AS t FROM chunks),
+st AS (SELECT collection, count(*) AS n, avg(len(t)) AS avglen FROM tok GROUP BY collection),
+tf AS (SELECT chunk_id, collection, len(t) AS length, unnest(t) AS term FROM tok),
+tfs AS (SELECT chunk_id, collection, length, term, count(*) AS tf FROM tf GROUP BY ALL),
+df AS (SELECT collection, term, count(*) AS df FROM tfs GROUP BY ALL),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark),
+scored AS (SELECT query_id, collection, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avglen))), 9) AS score
+  FROM qt JOIN tfs USING (term) JOIN df USING (collection, term) JOIN st USING (collection) GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, chunk_id) AS rank FROM scored)"""
 _EMBED = "list_transform(range(0, 64), lambda i: len(list_filter(list_transform({0}, lambda t: crc32(t) % 64), lambda s: s = i))::DOUBLE)"
 _GOLD = "gold AS (SELECT item_id AS query_id, chunk_id FROM chunks JOIN benchmark ON contains(content, left(text, 60)))"
 _METRICS = """
@@ -174,6 +217,9 @@ SQL = {
     "ag04_postings": f"{_C} SELECT collection, term, count(DISTINCT chunk_id) AS df, count(*) AS occurrences FROM (SELECT collection, chunk_id, unnest({tokens(chr(39).join(['section || ', ' ', ' || content']))}) AS term FROM chunks) GROUP BY ALL",
     "ag05_corpus_statistics": f"{_C} SELECT collection, count(*) AS n_chunks, round(avg(len({tokens(chr(39).join(['section || ', ' ', ' || content']))})), 6) AS average_length FROM chunks GROUP BY ALL",
     "jn03_ag06_tk01_bm25": f"{_C}, {_ALL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
+    "jn03_ag06_collection_bm25": f"{_C}, {_BY_COLLECTION} SELECT collection, query_id, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
+    "pl05_snk01_reindex": _C.replace("regexp_replace(text,", "regexp_replace(CASE WHEN doc_id % 10 = 3 THEN 'Revised. ' || reverse(text) ELSE text END,")
+    + f" SELECT chunk_id, collection, md5(content) AS content, len({tokens(chr(39).join(['section || ', ' ', ' || content']))})::BIGINT AS n_tokens FROM chunks WHERE collection IS NOT NULL",
     "flt01_filtered_bm25": f"{_C}, {_BM25.format(keep='contains(section, chr(49))')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10",
     "scl09_normalized": "SELECT 'v:' || vec_id AS chunk_id, true AS valid, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first, 1.0::DOUBLE AS length FROM embeddings",
     "jn04_tk02_dense": """WITH v AS (SELECT vec_id, label % 2 AS c, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.text import split_text, strip
+from brindle.functions.text import split_text, strip, tokenize
+from brindle.operators import lexical
+from brindle.sources import snapshots
 
 CHUNK = 1200
+_INDEXES: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +33,43 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, document, collection, chunk_no, page, section, content_type, content."""
-    d = table(spark, sf_dir, "documents")
+    return chunked(table(spark, sf_dir, "documents"))
+
+
+def chunked(d: DataFrame) -> DataFrame:
+    """The chunks of documents (doc_id, source, text)."""
     key = F.lpad(F.col("doc_id").cast("string"), 8, "0")
     d = d.select(key.alias("document"), F.col("source").alias("collection"), F.format_string("doc_%d", "doc_id").alias("section"), strip(F.col("text")).alias("__t"))
     d = d.select("document", "collection", "section", F.posexplode(split_text(F.col("__t"), CHUNK)).alias("chunk_no", "content"))
     return d.select(F.concat_ws(":", "document", "chunk_no").alias("chunk_id"), "document", "collection", "chunk_no", F.lit(1).alias("page"), "section", F.lit("text").alias("content_type"), "content")
 
 
+def index_tables(chunks_: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """The tables of an index: chunks with their tokens, which are made once (and written), and postings."""
+    rows = chunks_.withColumn("tokens", tokenize(F.concat_ws(" ", "section", "content")))
+    rows.write.mode("overwrite").parquet(folder)
+    rows = chunks_.sparkSession.read.schema(rows.schema).parquet(folder)
+    return {"chunks": rows, "postings": lexical.term_counts(rows)}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """What identifies the files under path without reading them: names, lengths and times of change."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
+
+
+def index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index over all documents is: written once for each application and state of the table."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _INDEXES:
+        path = f"{snapshots.shared_root(spark)}/index-{uuid.uuid4().hex}"
+        made = index_tables(chunks(spark, sf_dir).where("collection IS NOT NULL AND document IS NOT NULL"), f"{path}/new")
+        snapshots.replace_documents(path, made["chunks"], made)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, question."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.snapshots import shared_root
+
+SEGMENT_ROWS = 500_000
+
 
 def newest(log: DataFrame, n: int, order: list[str], by: list[str] | None = None) -> DataFrame:
     """The newest n rows, of each key if by is given. order: columns, latest last."""
@@ -66,6 +72,82 @@ def concurrency(log: DataFrame, cap: int) -> DataFrame:
     return log.withColumn("running", running).withColumn("over", F.col("running") > cap)
 
 
+def admitted(log: DataFrame, per_owner: int = 6, in_all: int = 24, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """log (owner, at, id, change: +1 asks to start a task, -1 ends one) with admitted and running (the owner's tasks after the row). A start is refused while its owner has per_owner tasks or all have
+    in_all; refused ones do not count, and an end without a running task changes nothing.
+
+    Both limits hold in the order of time, so one task's decision depends on all before it, but only through who is running, at most in_all owners. The log
+    lies in segments of time. All are folded at once from a guessed start (nobody runs); then each segment whose start differs from what the one before
+    it ended with is folded again, until none does. Folds from different starts soon end alike, as a full house or an empty one forgets how it began; in the worst case a
+    round settles one more segment.
+    """
+    spark, kinds = log.sparkSession, dict(log.dtypes)
+    path = f"{shared_root(spark)}/log-{uuid.uuid4().hex}"
+    n = max(1, -(-log.count() // segment_rows))
+    rows = log.select("owner", "at", "id", "change").repartitionByRange(n, "at", "id").withColumn("segment", F.spark_partition_id())
+    rows.write.partitionBy("segment").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+
+    def folded(starts: dict[int, dict], ends: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, held = None, Counter()
+            for b in batches:
+                out = []
+                for segment, part in b.groupby("segment", sort=False):
+                    if segment != at:
+                        if ends and at is not None:
+                            yield _held(at, held)
+                        at, held = segment, Counter(starts.get(segment, {}))
+                    done = _fold(part["owner"].tolist(), part["change"].tolist(), held, per_owner, in_all)
+                    out.append(part[["owner", "at", "id", "change"]].assign(admitted=[x[0] for x in done], running=[x[1] for x in done]))
+                if out and not ends:
+                    yield pd.concat(out)
+            if ends and at is not None:
+                yield _held(at, held)
+
+        return run
+
+    def _held(segment: int, held: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"segment": [segment] * (len(held) + 1), "owner": [*held, None], "n": [*held.values(), 0]}).astype({"owner": "object"})
+
+    def in_order(segments: list[int] | None) -> DataFrame:
+        some = rows if segments is None else rows.where(F.col("segment").isin(segments))
+        return some.repartition(n, "segment").sortWithinPartitions("segment", "at", "id")
+
+    starts: dict[int, dict] = {}
+    found: dict[int, dict] = {}
+    again = None
+    while n > 1:  # at most in_all rows of each segment reach the driver
+        for k in range(n) if again is None else again:
+            found[k] = {}
+        for r in in_order(again).mapInPandas(folded(starts, True), f"segment int, owner {kinds['owner']}, n bigint").collect():
+            if r["n"]:
+                found[r["segment"]][r["owner"]] = r["n"]
+        there = sorted(k for k in range(n))
+        new = {b: found[a] for a, b in zip(there, there[1:], strict=False)}
+        again = [k for k in there if new.get(k, {}) != starts.get(k, {})]
+        starts = new
+        if not again:
+            break
+    return in_order(None).mapInPandas(folded(starts, False), f"owner {kinds['owner']}, at {kinds['at']}, id {kinds['id']}, change int, admitted boolean, running bigint")
+
+
+def _fold(owners: list, changes: list[int], held: Counter, per_owner: int, in_all: int) -> list[tuple[bool, int]]:
+    """Whether each row took effect, and its owner's tasks after it. held (running tasks by owner) is carried on."""
+    out, total = [], sum(held.values())
+    for owner, change in zip(owners, changes, strict=True):
+        now = held.get(owner, 0)
+        ok = now < per_owner and total < in_all if change > 0 else now > 0
+        if ok:
+            now, total = (now + 1, total + 1) if change > 0 else (now - 1, total - 1)
+            if now:
+                held[owner] = now
+            else:
+                del held[owner]
+        out.append((ok, now))
+    return out
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """task, status of events (task, status, at, id)."""
     return events.groupBy("task").agg(F.max_by("status", F.struct("at", "id")).alias("status"))

@@ -3,15 +3,22 @@
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _METRICS = {"symbols": False, "word_length": True, "dup_lines": False, "repeats": False}
-_LEVELS = "".join(f"""
-h_{level} AS (SELECT {keys} metric, bucket, sum(n) AS n FROM hist GROUP BY ALL),
-c_{level} AS (SELECT *, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {keys} metric) AS total FROM h_{level}),
-q_{level} AS (SELECT {keys} metric, min(bucket) FILTER (10 * seen >= total) AS ql, min(bucket) FILTER (2 * seen >= total) AS qm,
-  min(bucket) FILTER (10 * seen >= 9 * total) AS qh FROM c_{level} WHERE total >= 100 GROUP BY {keys} metric),
-f_{level} AS (SELECT {keys} metric, qm - 4 * (qm - ql) AS low, qm + 4 * (qh - qm) AS high FROM q_{level}),"""
-    for level, keys in (("own", "lang, source, "), ("lang", "lang, "), ("all", "")))
-_OUT = " OR ".join([f"{m} > high_{m}" for m in _METRICS] + ["word_length < low_word_length"])
-
+# Own values in ten thousandths, and fifty values dealt as those of the language, which itself has fifty as those of the table.
+_EDGE = "(({0} >> greatest(length(bin({0})) - 6, 0)) << greatest(length(bin({0})) - 6, 0))"
+_WIDTH = "(1 << greatest(length(bin({0})) - 6, 0))"
+_LEVELS = f"""
+groups AS (SELECT DISTINCT lang, source FROM stats),
+h_all AS (SELECT metric, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY metric) AS total FROM hist GROUP BY metric, bucket),
+h_lang AS (SELECT lang, metric, bucket, sum(n)::HUGEINT AS n FROM (SELECT lang, metric, bucket, 10000 * n AS n FROM hist
+  UNION ALL SELECT lang, metric, bucket, (500000::HUGEINT * n) // total FROM (SELECT DISTINCT lang FROM groups) CROSS JOIN h_all) GROUP BY ALL),
+t_lang AS (SELECT *, sum(n) OVER (PARTITION BY lang, metric) AS total FROM h_lang),
+h_own AS (SELECT lang, source, metric, bucket, sum(n)::HUGEINT AS n FROM (SELECT lang, source, metric, bucket, 10000 * n AS n FROM hist
+  UNION ALL SELECT lang, source, metric, bucket, (500000::HUGEINT * n) // total FROM groups JOIN t_lang USING (lang)) GROUP BY ALL),
+c_own AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM h_own),
+q_own AS (SELECT lang, source, metric, min(bucket) FILTER (10 * seen >= total) AS ql, min(bucket) FILTER (2 * seen >= total) AS qm, min(bucket) FILTER (10 * seen >= 9 * total) AS qh
+  FROM c_own GROUP BY lang, source, metric),
+f_own AS (SELECT lang, source, metric, least(qm - 4 * (qm - ql), ql - {_WIDTH.format('ql')}) AS low, greatest(qm + 4 * (qh - qm), qh + {_WIDTH.format('qh')}) AS high FROM q_own),"""
+_OUT = " OR ".join([f"{_EDGE.format(m)} > high_{m}" for m in _METRICS] + [f"{_EDGE.format('word_length')} < low_word_length"])
 OP3 = rf"""
 WITH base AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t, {WORDS} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -28,10 +35,8 @@ hist AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) <<
     FROM (UNPIVOT (SELECT lang, source, symbols, word_length, dup_lines, repeats FROM m WHERE NOT base_failed) ON symbols, word_length, dup_lines, repeats INTO NAME metric VALUE v)
     WHERE v > 0 OR metric = 'word_length' GROUP BY ALL),
 {_LEVELS}
-limits AS (SELECT g.lang, g.source, {', '.join(f"max(coalesce(o.{side}, l.{side}, a.{side})) FILTER (k.metric = '{m}') AS {side}_{m}" for m in _METRICS for side in ('low', 'high'))}
-    FROM (SELECT DISTINCT lang, source FROM stats) g CROSS JOIN (SELECT unnest({list(_METRICS)}) AS metric) k
-    LEFT JOIN f_own o ON o.lang = g.lang AND o.source = g.source AND o.metric = k.metric LEFT JOIN f_lang l ON l.lang = g.lang AND l.metric = k.metric
-    LEFT JOIN f_all a ON a.metric = k.metric GROUP BY g.lang, g.source)
+limits AS (SELECT g.lang, g.source, {', '.join(f"max({side}) FILTER (metric = '{m}') AS {side}_{m}" for m in _METRICS for side in ('low', 'high'))}
+    FROM groups g LEFT JOIN f_own o ON o.lang = g.lang AND o.source = g.source GROUP BY g.lang, g.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
     n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({_OUT}, false) AS kept
 FROM m JOIN limits USING (lang, source)

@@ -3,15 +3,16 @@
 Every document gets integer metrics (per ten thousand words, lines or characters; lengths of words in thousandths). A sketch is a histogram over
 integer buckets of bounded relative width, kept per language and source: plain counts, so sketches merge by
 addition, in any order, and a lost task changes nothing. Zeros are counted apart: of a metric that is mostly zero the quantiles are those
-of the other values. From each sketch come the median and the quantiles on both sides of it (TAIL of the values lie beyond each); a
-fence lies STEPS times as far from the median as the quantile. No figure in it is a cutoff: where a group's values lie close together its fences
-do, too. Documents that fail the base rules take no part in the sketches, as the fences are those of what is normal in a group. Groups of too few
-values take the fences of their language, then of the whole table. The fences are joined to the documents of their group and decide, besides the base
-rules, what is kept.
+of the other values. To a language's sketch PRIOR values are added that lie as those of the whole table, and to a group's PRIOR values that lie as its
+language's: a group of few documents is judged as its language is, and the more it has the more by its own. From each sketch come the median and the
+quantiles on both sides of it (1 / TAIL of the values lie beyond each); a fence lies STEPS times as far from the median as the quantile, and
+at least one bucket beyond the quantile. Values are compared with fences by their buckets. No figure in it is a cutoff: where a group's values lie close together its fences
+do, too, but around them. Documents that fail the base rules take no part in the sketches, as the fences are those of what is normal in a group. The fences are joined to the
+documents of their group and decide, besides the base rules, what is kept.
 
 Defined results: null text counts as empty (no words: base_failed). Null language or source is a group of its own.
-Texts of any length are judged whole. Repeated rows are judged row by row, each counts in the sketches; values on a fence are inside. An empty table
-gives no rows. Columns of the input beyond doc_id, text, lang and source are carried by
+Texts of any length are judged whole. Repeated rows are judged row by row, each counts in the sketches; values in a fence's bucket are inside, so a group of like
+documents is kept whole. An empty table gives no rows. Columns of the input beyond doc_id, text, lang and source are carried by
 quality_rules() and ignored by quality_stats(); their names may clash with anything made here.
 """
 
@@ -24,7 +25,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: metric: whether a low value is a fault too
 METRICS = {"symbols": False, "word_length": True, "dup_lines": False, "repeats": False}
 TAIL, STEPS = 10, 4  # 1 / TAIL of a group's values lie beyond each quantile, room for as much junk; fences lie STEPS times as far from the median
-LEAST_GROUP = 100  # values that a group needs for a fence of its own: ten beyond each quantile
+PRIOR = 50  # values as of the language (or the whole table) that each sketch has besides its own: five beyond each quantile
+UNIT = 10_000  # a value's weight: prior values are dealt to buckets in parts of it
 BROADCAST_GROUPS = 50_000  # rows of fences, under 10 MB
 _NONE = "\u0001"  # stands for a null language or source
 
@@ -82,6 +84,11 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
 
 
+def width(edge: Column) -> Column:
+    """The width of the bucket that begins at edge."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(edge)) - 6, F.lit(0)))
+
+
 def quantile_sketches(stats: DataFrame) -> DataFrame:
     """Counts by __lang, __source, metric and bucket, of what passes the base rules: a table as small as the number of groups. Groups without such documents
     have a row of a null metric."""
@@ -90,26 +97,36 @@ def quantile_sketches(stats: DataFrame) -> DataFrame:
     return long.groupBy("__lang", "__source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mixed(own: DataFrame, of: DataFrame, keys: list[str], shared: list[str]) -> DataFrame:
+    """keys, metric, bucket, n: own counts (keys, metric, bucket, n) in UNITs, and PRIOR values dealt as those of `of` (shared, metric, bucket, n). own has a row for
+    each key, of a null metric if it has no values."""
+    n = F.col("n").cast("decimal(38,0)")
+    total = of.groupBy(*shared, "metric").agg(F.sum("n").alias("total"))
+    prior = of.join(total, [*shared, "metric"]).select(*shared, "metric", "bucket", F.expr(f"cast({PRIOR * UNIT} * cast(n as decimal(38,0)) div total as bigint)").alias("n"))
+    groups = own.select(*keys).distinct()
+    added = groups.join(prior, shared) if shared else groups.crossJoin(F.broadcast(prior))  # the whole table's buckets: some hundreds
+    both = own.where("metric IS NOT NULL").select(*keys, "metric", "bucket", (n * UNIT).cast("long").alias("n")).unionByName(added.select(*keys, "metric", "bucket", "n"))
+    return both.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+
+
 def fences(sketches: DataFrame) -> DataFrame:
-    """By __lang and __source, low_<metric> and high_<metric>, of the narrowest group with LEAST_GROUP values; null where nothing has as many."""
-    levels = {"own": ["__lang", "__source"], "lang": ["__lang"], "all": []}
-    found = sketches.select("__lang", "__source").distinct()
-    seen = sketches.where("metric IS NOT NULL AND (bucket > 0 OR metric = 'word_length')")
-    for level, keys in levels.items():
-        merged = seen.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-        total = merged.groupBy(*keys, "metric").agg(
-            F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b")).where(f"total >= {LEAST_GROUP}")
-        reached = lambda a, x, num, den: den * (a["seen"] + x["n"]) >= num * a["total"]
-        cuts = {"low": (1, TAIL), "mid": (1, 2), "high": (TAIL - 1, TAIL)}
-        step = lambda a, x: F.struct(
-            (a["seen"] + x["n"]).alias("seen"), a["total"].alias("total"), *[F.coalesce(a[q], F.when(reached(a, x, *of), x["bucket"])).alias(q) for q, of in cuts.items()])  # noqa: B023
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.col("total").alias("total"), *[F.lit(None).cast("long").alias(q) for q in cuts])
-        q = total.select(*keys, "metric", F.aggregate("b", start, step).alias("q"))
-        low, high = (F.col("q.mid") - STEPS * (F.col("q.mid") - F.col("q.low"))), (F.col("q.mid") + STEPS * (F.col("q.high") - F.col("q.mid")))
-        wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.struct(low.alias("low"), high.alias("high")))).alias(f"{level}_{m}") for m in METRICS])
-        found = found.join(wide, keys, "left") if keys else found.crossJoin(F.broadcast(wide))
-    pick = lambda m: F.coalesce(F.col(f"own_{m}"), F.col(f"lang_{m}"), F.col(f"all_{m}"))
-    return found.select("__lang", "__source", *[pick(m)[side].alias(f"{side}_{m}") for m, low in METRICS.items() for side in (("low", "high") if low else ("high",))])
+    """By __lang and __source, low_<metric> and high_<metric>: buckets of the outermost values that are inside; null where the table has no values."""
+    groups, seen = ["__lang", "__source"], F.col("metric").isNotNull() & ((F.col("bucket") > 0) | (F.col("metric") == "word_length"))
+    own = sketches.select(*groups, F.when(seen, F.col("metric")).alias("metric"), "bucket", "n")
+    by_lang = own.groupBy("__lang", "metric", "bucket").agg(F.sum("n").alias("n"))
+    whole = by_lang.where("metric IS NOT NULL").groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    found = mixed(own, mixed(by_lang, whole, ["__lang"], []), groups, ["__lang"])
+    listed = found.groupBy(*groups, "metric").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"))
+    reached = lambda a, x, num, den: den * (a["seen"] + x["n"]) >= num * a["total"]
+    cuts = {"low": (1, TAIL), "mid": (1, 2), "high": (TAIL - 1, TAIL)}
+    step = lambda a, x: F.struct(
+        (a["seen"] + x["n"]).alias("seen"), a["total"].alias("total"), *[F.coalesce(a[q], F.when(reached(a, x, *of), x["bucket"])).alias(q) for q, of in cuts.items()])  # noqa: B023
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.col("total").alias("total"), *[F.lit(None).cast("long").alias(q) for q in cuts])
+    q = listed.select(*groups, "metric", F.aggregate("b", start, step).alias("q"))
+    low = F.least(F.col("q.mid") - STEPS * (F.col("q.mid") - F.col("q.low")), F.col("q.low") - width(F.col("q.low")))
+    high = F.greatest(F.col("q.mid") + STEPS * (F.col("q.high") - F.col("q.mid")), F.col("q.high") + width(F.col("q.high")))
+    wide = q.groupBy(*groups).agg(*[F.max(F.when(F.col("metric") == m, side)).alias(f"{name}_{m}") for m, both in METRICS.items() for name, side in (("low", low), ("high", high)) if both or name == "high"])
+    return sketches.select(*groups).distinct().join(wide, groups, "left")
 
 
 def judge(stats: DataFrame, limits: DataFrame, n_groups: int) -> DataFrame:
@@ -118,9 +135,9 @@ def judge(stats: DataFrame, limits: DataFrame, n_groups: int) -> DataFrame:
     limits = F.broadcast(limits) if n_groups <= BROADCAST_GROUPS else limits
     inside = F.lit(True)
     for m, low in METRICS.items():
-        inside &= F.coalesce(F.col(f"m_{m}") <= F.col(f"high_{m}"), F.lit(True))
+        inside &= F.coalesce(bucket(F.col(f"m_{m}")) <= F.col(f"high_{m}"), F.lit(True))
         if low:
-            inside &= F.coalesce(F.col(f"m_{m}") >= F.col(f"low_{m}"), F.lit(True))
+            inside &= F.coalesce(bucket(F.col(f"m_{m}")) >= F.col(f"low_{m}"), F.lit(True))
     joined = stats.join(limits, ["__lang", "__source"], "left").withColumn("kept", ~F.col("base_failed") & inside)
     return joined.drop(*limits.columns)
 

@@ -134,3 +134,16 @@ def row_ranges(numbers: DataFrame, by: list[str]) -> DataFrame:
 def row_chunks(rows: DataFrame, headers: list[str], caption: str) -> DataFrame:
     """chunk text of each table row: caption, headers, cells."""
     return rows.select("row_index", "row_number", F.concat(F.lit(f"{caption}\n{' | '.join(headers)}\n"), F.array_join("cells", " | ")).alias("content"))
+
+
+def context(hits: DataFrame, rows: DataFrame, before: int = 3, most: int = 20) -> DataFrame:
+    """table, hit, offset, total, rows (row_index and cells, in order) of hits (table, hit: a row_index; each once): the rows of its table from `before` rows above it, at most
+    `most`. rows: table, row_index, cells. A window lies in two blocks of `most` rows at most, so windows meet their rows by an equal key; how
+    many hits there are, or how many in one place, changes nothing else."""
+    offset = F.greatest(F.lit(0), F.col("hit") - before)
+    wanted = hits.select("table", "hit", offset.alias("offset")).distinct()
+    block = lambda c: F.floor(c / most).cast("long")
+    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(block(F.col("offset")), block(F.col("offset") + most - 1)))).alias("block"))
+    near = rows.withColumn("block", block(F.col("row_index"))).join(wanted, ["table", "block"]).where(f"row_index >= offset AND row_index < offset + {most}")
+    listed = near.groupBy("table", "hit", "offset").agg(F.array_sort(F.collect_list(F.struct("row_index", "cells"))).alias("rows"))
+    return listed.join(F.broadcast(rows.groupBy("table").agg(F.count("*").alias("total"))), "table").select("table", "hit", "offset", "total", "rows")

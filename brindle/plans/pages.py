@@ -1,12 +1,15 @@
-"""Queries over pages of blocks: captions, sections and regions by their place; and admission of tasks."""
+"""Queries over pages of blocks (captions, sections and regions by their place), admission of tasks, context of table rows, search over what is visible."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import layout, logs
-from brindle.plans.corpus import _log
+from brindle.functions.text import tokenize
+from brindle.operators import access, layout, lexical, logs, tables
+from brindle.plans.corpus import _ACCESS, _grants, _log
+from brindle.plans.retrieval import _BY_COLLECTION, _C, _indexed, tokens
+from brindle.sources import views
 from brindle.sources.views import table
 
 
@@ -58,7 +61,33 @@ def wn12_admission(spark: SparkSession, sf: str) -> DataFrame:
     return logs.admitted(log).select("id", "admitted", "running")
 
 
-QUERIES = {f.__name__: f for f in (jn08_captions_by_kind, jn09_section_asof, jn13_vector_regions, wn12_admission)}
+def jn06_hit_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows around the ten best rows of part, by BM25, for each of its types as a question."""
+    p = table(spark, sf, "part").select(F.lit("part").alias("collection"), F.lit("part").alias("document"), F.col("p_partkey").alias("chunk_id"), tokenize(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("tokens"))
+    kinds = table(spark, sf, "part").select(F.col("p_type").alias("query_id"), F.col("p_type").alias("question")).distinct()
+    best = lexical.top(lexical.scores(lexical.term_counts(p), p.select(F.size("tokens").alias("length")), lexical.query_terms(kinds), by=()), 10)
+    rows = views.table_cells(spark, sf, "part").withColumn("table", F.lit("part"))
+    found = tables.context(best.select(F.lit("part").alias("table"), F.col("chunk_id").alias("hit")), rows)
+    return found.select("hit", "offset", "total", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r["cells"], "|")), "\n")).alias("rows"))
+
+
+def pl06_visible_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Each question is asked by five users; each gets the three best chunks of each collection among the documents that they may read. Statistics are the
+    collection's."""
+    chunks = _indexed(spark, sf, "chunks")
+    users = table(spark, sf, "events").select(F.col("user_id").alias("actor")).distinct()
+    asked = views.questions(spark, sf).join(users, F.pmod(F.col("query_id") - F.col("actor"), F.lit(3)) == 0)
+    asked = asked.where("actor < 15").select("query_id", "actor")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document"), F.col("source").alias("collection"))
+    seen = access.visible(docs, asked.select("actor").distinct(), **_grants(spark, sf)).select("actor", F.lpad(F.col("document").cast("string"), 8, "0").alias("document"))
+    terms = lexical.query_terms(views.questions(spark, sf)).join(chunks.select("collection").distinct(), F.lit(True))
+    found = lexical.scores(_indexed(spark, sf, "postings"), chunks.select("collection", F.size("tokens").alias("length")), terms)
+    found = found.withColumn("document", F.split_part("chunk_id", F.lit(":"), F.lit(1))).join(asked, "query_id").join(seen, ["actor", "document"], "left_semi")
+    ranked = lexical.top(found, 3, by=("query_id", "actor", "collection"))
+    return ranked.select("query_id", "actor", "collection", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (jn06_hit_context, pl06_visible_search, jn08_captions_by_kind, jn09_section_asof, jn13_vector_regions, wn12_admission)}
 
 _BLOCKS = """lines AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
 heads AS (SELECT *, CASE WHEN i % 11 = 5 AND i % 7 <> 3 THEN i || ' Heading' END AS heading FROM lines),
@@ -68,7 +97,21 @@ blocks AS (SELECT doc, 1 + i // 40 AS page, i % 40 AS block_no, i AS line_no, he
 regions AS (SELECT * REPLACE (y0 - 3 AS y0, y1 + 25 AS y1) FROM blocks WHERE line_no % 5 = 2)"""
 _FAR = "CASE WHEN c.y0 >= r.y1 - 8 THEN greatest(0, c.y0 - r.y1) WHEN c.y1 <= r.y0 + 8 THEN greatest(0, r.y0 - c.y1) END"
 
+_PCELLS = "[p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::DECIMAL(18,2)::VARCHAR]"
+
 SQL = {
+    "jn06_hit_context": f"""WITH tok AS (SELECT p_partkey AS i, {tokens("p_name || ' ' || p_brand || ' ' || p_type")} AS t FROM part), st AS (SELECT count(*) AS n, avg(len(t)) AS avglen FROM tok),
+      tfs AS (SELECT i, length, term, count(*) AS tf FROM (SELECT i, len(t) AS length, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+      qt AS (SELECT DISTINCT p_type AS q, unnest({tokens('p_type')}) AS term FROM part),
+      scored AS (SELECT q, i, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avglen))), 9) AS score FROM qt JOIN tfs USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+      h AS (SELECT DISTINCT i AS hit, greatest(0, i - 3) AS o FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS rank FROM scored) WHERE rank <= 10),
+      p AS (SELECT p_partkey AS i, array_to_string({_PCELLS}, '|') AS c FROM part)
+      SELECT hit, o AS "offset", (SELECT count(*) FROM part) AS total, count(*) AS n, md5(string_agg(c, chr(10) ORDER BY p.i)) AS rows FROM h JOIN p ON p.i >= o AND p.i < o + 20 GROUP BY 1, 2""",
+    "pl06_visible_search": f"""{_C}, {_BY_COLLECTION}, {_ACCESS}, seen AS (SELECT actor, lpad(document::VARCHAR, 8, '0') AS document FROM (SELECT d.doc_id AS document, d.source AS collection, u.actor, u.admin, u.active, substr(d.source, 4)::BIGINT AS s FROM documents d CROSS JOIN u)
+        WHERE active AND (admin OR ((actor + s) % 3 <> 0 AND (document % 5 <> 0 OR (actor + document) % 4 = 0)))),
+      r AS (SELECT query_id, actor, collection, chunk_id, row_number() OVER (PARTITION BY query_id, actor, collection ORDER BY score DESC, chunk_id) AS rank
+        FROM scored JOIN u ON (query_id - actor) % 3 = 0 AND actor < 15 JOIN seen USING (actor) WHERE seen.document = split_part(chunk_id, ':', 1))
+      SELECT query_id, actor, collection, chunk_id, rank FROM r WHERE rank <= 3""",
     "jn08_captions_by_kind": f"""WITH {_BLOCKS}, caps AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)^fig(ure)?\\.?\\s*[0-9]+') THEN 0 WHEN regexp_matches(text, '(?i)^table\\s*[0-9]+') THEN 1 END AS kind FROM blocks),
       n AS (SELECT r.doc, r.line_no, c.text, {_FAR} AS far, c.y0 >= r.y1 - 8 AS below, c.y1 <= r.y0 + 8 AS above FROM regions r JOIN caps c ON r.doc = c.doc AND r.page = c.page AND r.line_no % 2 = c.kind
         WHERE least(r.x1, c.x1) > greatest(r.x0, c.x0)),

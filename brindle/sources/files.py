@@ -107,6 +107,49 @@ def page_sections(blocks: DataFrame) -> DataFrame:
         "doc", "page", "block_no", F.sum(heading.cast("int")).over(w).alias("section_no"), at["t"].alias("section"), F.coalesce(at["l"], F.lit(1)).alias("level"), heading.alias("heading"))
 
 
+WORD_PARAGRAPHS, WORD_CELLS, LEVELS = 20_000, 100_000, range(10)  # limits of a document; levels of headings
+
+
+def word_stream(blocks: DataFrame) -> DataFrame:
+    """blocks (doc, title, seq, kind: paragraph or table, style, text, rows) in the order of a word processor's file, with paragraph (its number, empty ones counted), table (likewise), section
+    (the open heading, else title), section_no, heading_path (open headings by ` / `), width (of a table) and refused (its document is too large).
+
+    A heading is open until one of its level or a lower one. For each level the last heading is carried on by one window; it is open if no lower level's is
+    later. So a document is sorted, but never one array.
+    """
+    paragraph, text = F.col("kind") == "paragraph", strip(F.coalesce("text", F.lit("")))
+    level = F.when(paragraph & (text != ""), F.regexp_extract(F.coalesce("style", F.lit("")), r"(?i)^(?:Heading|标题)\s*([0-9])$", 1))
+    level = F.when(level != "", level.cast("int"))
+    width = F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0))
+    cells = F.coalesce(F.aggregate("rows", F.lit(0), lambda a, r: a + F.size(r)), F.lit(0))
+    b = blocks.withColumns({"text": text, "__level": level, "width": F.when(~paragraph, width).otherwise(0), "__cells": F.when(~paragraph, cells).otherwise(0)})
+    w, whole = Window.partitionBy("doc").orderBy("seq"), Window.partitionBy("doc")
+    last = {f"__l{k}": F.last(F.when(F.col("__level") == k, F.struct("seq", "text")), ignorenulls=True).over(w) for k in LEVELS}
+    b = b.withColumns(last | {
+        "paragraph": F.sum(paragraph.cast("int")).over(w), "table": F.sum((F.col("width") > 0).cast("int")).over(w), "section_no": F.count("__level").over(w),
+        "section": F.coalesce(F.last(F.when(F.col("__level").isNotNull(), F.col("text")), ignorenulls=True).over(w), F.col("title")),
+        "refused": (F.sum(paragraph.cast("int")).over(whole) > WORD_PARAGRAPHS) | (F.sum("__cells").over(whole) > WORD_CELLS)})
+    later = lambda k: F.greatest(*[F.coalesce(F.col(f"__l{j}.seq"), F.lit(-1)) for j in range(k)], F.lit(-1), F.lit(-1))
+    open_ = F.array_compact(F.array(*[F.when(F.col(f"__l{k}.seq") > later(k), F.col(f"__l{k}.text")) for k in LEVELS]))
+    return b.withColumn("heading_path", F.array_join(open_, " / ")).drop("__level", "__cells", *last)
+
+
+def word_paragraphs(stream: DataFrame) -> DataFrame:
+    """doc, section_no, section, paragraph, heading_path, text of a word_stream(): paragraphs with text, headings among them. Documents without pages: page is 0."""
+    kept = stream.where("NOT refused AND kind = 'paragraph' AND text <> ''")
+    return kept.select("doc", "section_no", "section", "paragraph", F.lit(0).alias("page"), "heading_path", "text")
+
+
+def word_tables(stream: DataFrame) -> DataFrame:
+    """doc, table, section, heading_path, caption, headers, rows (all of one width), row_numbers of a word_stream(). Headers are made up: the file has none."""
+    t = stream.where("NOT refused AND kind = 'table' AND width > 0")
+    n = F.sequence(F.lit(1), F.col("width"))
+    rows = F.transform("rows", lambda r: F.concat(F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))), F.array_repeat(F.lit(""), F.col("width") - F.size(r))))
+    return t.select(
+        "doc", "table", "section", "heading_path", F.concat(F.lit("表格 "), F.col("table").cast("string")).alias("caption"), F.transform(n, lambda i: F.concat(F.lit("列 "), i.cast("string"))).alias("headers"),
+        rows.alias("rows"), F.sequence(F.lit(1), F.size("rows")).alias("row_numbers"))
+
+
 def replace_index(frames: dict[str, DataFrame], path: str, version: int, max_chunks: int | None = None) -> None:
     """Writes a snapshot of chunks and vectors, then the pointer that readers follow. Over max_chunks nothing is written."""
     spark = frames["chunks"].sparkSession

@@ -107,6 +107,23 @@ def groups(rows: DataFrame, spec: Spec, width: int, on_error: str = "raise", lin
     return out.withColumn("label", F.when(F.col("key") == "", BLANK).otherwise(F.col("key")))
 
 
+def lineage(rows: DataFrame, by: list[str], block: int = 1 << 16) -> DataFrame:
+    """by, first, last: the row_numbers (each once) of each group as ranges without gaps, one row a range. Ranges are made within blocks of the table, so the rows of
+    a group never meet, however many they are; only ranges that touch a block's border are shuffled by group, two a block at most, to be joined across borders."""
+    r = rows.select(*by, "row_number", F.floor(F.col("row_number") / block).alias("__block"))
+    within = Window.partitionBy("__block").orderBy("row_number")
+    same = F.lag("row_number").over(within).eqNullSafe(F.col("row_number") - 1)
+    for c in by:
+        same &= F.lag(c).over(within).eqNullSafe(F.col(c)) & (F.row_number().over(within) > 1)
+    r = r.withColumn("__new", (~same).cast("int")).withColumn("__run", F.sum("__new").over(within))
+    runs = r.groupBy("__block", "__run", *by).agg(F.min("row_number").alias("first"), F.max("row_number").alias("last"))
+    at_border = (F.col("first") == F.col("__block") * block) | (F.col("last") == (F.col("__block") + 1) * block - 1)
+    across = Window.partitionBy(*by).orderBy("first")
+    border = runs.where(at_border).withColumn("__new", (~F.lag("last").over(across).eqNullSafe(F.col("first") - 1)).cast("int"))
+    border = border.withColumn("__run", F.sum("__new").over(across)).groupBy(*by, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.where(~at_border).select(*by, "first", "last").unionByName(border.select(*by, "first", "last"))
+
+
 def preview(rows: DataFrame, spec: Spec, width: int) -> DataFrame:
     """The first selected rows, at most 50 and at most 2000 cells."""
     return rows.where(selection(spec)).orderBy("row_number").limit(min(50, 2000 // max(1, width)))

@@ -116,8 +116,14 @@ def jn06_tk04_tk05_context(spark: SparkSession, sf: str) -> DataFrame:
     return listed.select("hit", "offset", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r["cells"], "|")), "\n")).alias("rows"))
 
 
+def ag13_lineage_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of orders by the first letters of status and priority, as ranges."""
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.left("o_orderpriority", F.lit(1)).alias("priority"), (F.col("o_orderkey") + 2).alias("row_number"))
+    return t.lineage(o, ["status", "priority"], block=1000)
+
+
 QUERIES = {f.__name__: f for f in (
-    flt02_predicates, scl04_errors, ag08_count, ag09_sum, ag10_mean, ag11_min_max, ag12_ag13_groups, ag14_pl04_summary, wn07_row_ranges, wn08_preview, flt06_shape, prj03_row_numbers,
+    ag13_lineage_ranges, flt02_predicates, scl04_errors, ag08_count, ag09_sum, ag10_mean, ag11_min_max, ag12_ag13_groups, ag14_pl04_summary, wn07_row_ranges, wn08_preview, flt06_shape, prj03_row_numbers,
     scl05_render, scl16_wn04_row_chunks, ag15_catalog, snk05_report, jn06_tk04_tk05_context,
 )}
 
@@ -128,6 +134,9 @@ _NUM = "CASE WHEN {0} = 0 THEN '0' ELSE rtrim(rtrim({0}::DECIMAL(38,2)::VARCHAR,
 _SUM = "(SELECT count(*) FROM orders) AS total_rows, count(*) AS selected_rows, (SELECT count(*) FROM orders) - count(*) AS excluded_rows"
 _X = "o_totalprice::DECIMAL(18,2)"
 SQL = {
+    "ag13_lineage_ranges": """WITH r AS (SELECT o_orderstatus AS status, left(o_orderpriority, 1) AS priority, o_orderkey + 2 AS n FROM orders),
+      i AS (SELECT *, n - row_number() OVER (PARTITION BY status, priority ORDER BY n) AS i FROM r)
+      SELECT status, priority, min(n) AS first, max(n) AS last FROM i GROUP BY status, priority, i""",
     "flt02_predicates": f"SELECT o_orderkey + 2 AS row_number FROM orders WHERE {_D} AND strftime(o_orderdate, '%Y-%m-%d') LIKE '%-03-%' AND o_orderstatus = 'O'",
     "scl04_errors": "SELECT o_orderkey + 2 AS row_number, CASE o_orderkey % 97 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '1,000' ELSE '12%' END AS c, CASE o_orderkey % 97 WHEN 0 THEN 'blank' ELSE 'not a number' END AS error FROM orders WHERE o_orderkey % 97 < 4",
     "ag08_count": f"SELECT 'count' AS operation, count(*)::VARCHAR AS value, {_SUM} FROM orders WHERE {_D}",

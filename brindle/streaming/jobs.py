@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from brindle.operators.logs import admitted_in, newest
@@ -60,6 +61,37 @@ class Admission(StatefulProcessor):
         pass
 
 
-def throttled(attempts: DataFrame, limit: int = 10, window: float = 300.0) -> DataFrame:
-    """A stream of attempts (key, at, id) with accepted."""
-    return attempts.groupBy("key").transformWithStateInPandas(Admission(limit, window), "key bigint, id bigint, accepted boolean", "Append", "None")
+class ExpiringAdmission(Admission):
+    """Forgets a key as soon as the watermark has passed all that still counts for it. at: seconds; the stream's watermark is on the same time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        passed = timers.getCurrentWatermarkInMs() / 1000
+        part = pd.concat(rows)
+        part = part[part["at"] >= passed]  # the engine drops what is late by the batch before
+        if not len(part):
+            return
+        yield from super().handleInputRows(key, iter([part]), timers)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held := list(self.held.get()[0]):
+            self.handle.registerTimer(int((max(held) + self.window) * 1000) + 1)
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from ()
+
+
+def throttled(attempts: DataFrame, limit: int = 10, window: float = 300.0, delay: str | None = None) -> DataFrame:
+    """A stream of attempts (key, at, id) with accepted. With delay (such as `10 minutes`) an attempt that comes when the watermark has passed its time is left out, as late, and
+    the state of keys without attempts that count is removed; without, nothing is late and keys stay."""
+    out = "key bigint, id bigint, accepted boolean"
+    if delay is None:
+        return attempts.groupBy("key").transformWithStateInPandas(Admission(limit, window), out, "Append", "None")
+    timed = attempts.withColumn("time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("time", delay)
+    return timed.groupBy("key").transformWithStateInPandas(ExpiringAdmission(limit, window), out, "Append", "EventTime")

@@ -20,9 +20,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,7 @@ class Aligner:
         piece = lambda k: bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
         self.b_bytes = [piece(k) for k in range(size)]
         self.ids_b = size
+        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(size)))
         self.by_chunk = self._cuts_at_blanks(json.loads(self.a.to_str()), b)
         self.cache = Cache(self.aligned)
 
@@ -113,19 +116,18 @@ class Aligner:
                 ta, tb = [pa_[x] for x in ia], [pb[x] for x in ib]
                 if b"".join(ta) != raw or b"".join(tb) != raw:
                     out[w] = None
-                elif len(ia) == 1 or len(ib) == 1:
-                    out[w] = self._value(ia, ib, [len(ia) - 1], [len(ib) - 1])
                 else:
-                    out[w] = self._value(ia, ib, *common(np.cumsum(list(map(len, ta))).tolist(), np.cumsum(list(map(len, tb))).tolist()))
+                    out[w] = self._value(ia, ib, *common(list(accumulate(map(len, ta))), list(accumulate(map(len, tb)))))
         return out
 
     def _value(self, ia: list[int], ib: list[int], at_a: list[int], at_b: list[int]) -> tuple:
-        groups, a, b = [], 0, 0
+        ta, tb = [self.a_text[x] for x in ia], [self.b_text[x] for x in ib]
+        groups, links, a, b, ids_b = [], [], 0, 0, self.ids_b
         for x, y in zip(at_a, at_b, strict=True):
-            groups.append(f"{','.join(map(str, ia[a : x + 1]))}|{','.join(map(str, ib[b : y + 1]))}")
+            groups.append(f"{ta[x] if a == x else ','.join(ta[a : x + 1])}|{tb[y] if b == y else ','.join(tb[b : y + 1])}")
+            links.append(ia[x] * ids_b + ib[y])
             a, b = x + 1, y + 1
-        links = np.array([ia[x] * self.ids_b + ib[y] for x, y in zip(at_a, at_b, strict=True)], "<i8")
-        return len(ia), len(ib), ";".join(groups), links.tobytes()
+        return len(ia), len(ib), ";".join(groups), struct.pack(f"<{len(links)}q", *links)
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple]:
         """n_a, n_b, groups, links of each text."""

@@ -7,7 +7,7 @@
 2. The pages are parsed again beside their host's list, and these subtrees are deleted.
 3. Of what is left, content is all outermost articles and mains (or elements of role main) in page order, the body if these hold less than HELD of its text.
    Inside it go navigation, headers but for their headings, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
-   known by tag, role, visibility or the words of class and id. Character references are decoded, white space inside a block becomes one space,
+   known by tag, role, visibility or the words of class and id; a form around an article, main or h1 is not one. Character references are decoded, white space inside a block becomes one space,
    blocks are joined by \\n.
 
 Defined results: null or empty html gives an empty text, as does a page without content. Pages of any length and depth are taken whole, in memory linear in
@@ -54,10 +54,18 @@ NAMES = frozenset(
     " recommendations comment comments disqus reply replies respond responses discussion toolbar pagination pager skip hidden copyright disclaimer teaser teasers form search".split()
 )
 HEADER_NAMES = frozenset(("header", "masthead"))
+#: Words of names that only say where something stands or what shape it has.
+PLACES = frozenset(
+    "article entry post posts page site content contents main body top bottom left right center first last box block section sections container wrapper wrap inner outer list links link bar area item"
+    " items group row col column module panel button buttons text title icon icons id js the primary secondary global local sticky fixed small large mobile desktop unit slot zone region story stories".split()
+)
+DOUBTFUL = frozenset("discussion social related share sharing search notice notices responses respond recommended recommendations".split())
+PROSE = 80
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rawattrs>(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<attrs>(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.I | re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+_SLASH = re.compile(r"=\s*[^\s\"'>]+/\Z")  # the end of a value without quotes
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
@@ -74,6 +82,7 @@ def parse(html: str) -> Element:
     root = Element("#root", {})
     stack, at = [root], 0
 
+    opened_forms: list[Element] = []
     opened: Counter = Counter()  # so that the stack is not searched for what is not in it
 
     def close(tags, beyond=()) -> None:
@@ -104,17 +113,41 @@ def parse(html: str) -> Element:
         attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m["attrs"])} if m["attrs"] else {}
         node = Element(tag, attrs)
         stack[-1].children.append(node)
-        if tag not in VOID and not m["attrs"].endswith("/"):
+        if tag == "form":
+            opened_forms.append(node)
+        if tag not in VOID and (not m["attrs"].endswith("/") or _SLASH.search(m["attrs"])):
             stack.append(node)
             opened[tag] += 1
     stack[-1].children.append(html[at:])
+    if opened_forms:
+        for x in opened_forms:  # a form around the page's content is only a box
+            if any(c.tag in ("article", "main", "h1") for c in _below(x)):
+                x.tag = "div"
     return root
 
 
 def _named(node: Element) -> frozenset[str]:
-    """The words of its class and id that mark what is unwanted."""
-    words = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return NAMES.intersection(w.lower() for w in _NAME.findall(words))
+    """The words of its class and id that mark what is unwanted. A name counts only if its other words say where something stands or what shape it has (`share-bar`, not
+    `share-price`), and a doubtful one only if the element holds no running text."""
+    found: set[str] = set()
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if (hit := NAMES.intersection(words)) and all(w in NAMES or w in PLACES for w in words):
+            found |= hit
+    return frozenset() if found and found <= DOUBTFUL and _prose(node) else frozenset(found)
+
+
+def _prose(node: Element) -> bool:
+    """Whether a paragraph of PROSE characters stands in it, not in an item of a list."""
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, str):
+                if c.tag == "p" and sum(len(t) for x in _below(c) for t in x.children if isinstance(t, str)) >= PROSE:
+                    return True
+                if c.tag in ("div", "section"):
+                    todo.append(c)
+    return False
 
 
 def _unwanted(node: Element) -> bool:

@@ -27,6 +27,23 @@ def test_headings_stay(body, want):
     assert page_blocks(f"<html><body>{body}</body></html>") == want
 
 
+@pytest.mark.parametrize("name", ["id=discussion", "class=social-history", "class=share-price", "id=related-work", 'class="search-results-discussed"', "class=notice"])
+def test_sections_with_running_text_stay(name):
+    text = "The section says what was found, and why it matters to those who read it, at some length."
+    assert page_blocks(f"<body><article><h1>T</h1><p>{LONG * 9}</p><section {name}><h2>Heading</h2><p>{text}</p></section></article></body>")[2:] == ["Heading", text]
+    assert page_blocks(f"<body><article><h1>T</h1><p>{LONG}</p><div class=share-bar><p>{text}</p><a>Tweet</a></div><div class=comments><p>{text}</p></div></article></body>")[2:] == [text, "Tweet"]
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"<form id=aspnetForm><article><p>{LONG}</p></article></form>", [LONG]),
+    (f"<form><div><h1>Title</h1><p>{LONG}</p></div></form>", ["Title", LONG]),
+    (f"<article><p>{LONG}</p><form><label>Name</label><p>{LONG}</p></form></article>", [LONG]),
+    (f"<article><p>{LONG}</p><aside id=foo/>menu</aside></article>", [LONG]),
+])
+def test_forms_around_pages(body, want):
+    assert page_blocks(f"<html><body>{body}</body></html>") == want
+
+
 def test_deep_and_long_pages():
     deep = page_blocks("<div>x" * 40_000)
     assert len(deep) == 40_000 and page_blocks("<p>x</p>" * 200_000) == ["x"] * 200_000

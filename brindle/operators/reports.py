@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: The limits of a result, and what a summary without sources becomes.
 MOST_EVIDENCE, MOST_CALCULATIONS, MOST_DOCUMENTS, MOST_QUESTION, SHOWN = 64, 20, 200, 8000, 6000
 NO_EVIDENCE = "当前资料不足以形成有据可查的结论，请补充所列资料。"
+#: Headings of a report's sections and what stands in empty ones.
+SCOPE, SUMMARY, FINDINGS, CONFLICTS, ADVICE, GAPS, CALCULATIONS, EVIDENCE = "任务与分析范围", "摘要", "主要发现", "资料差异与冲突", "分析建议（待业务确认）", "资料缺口", "计算记录", "引用证据快照"
+NO_FINDING, NOTHING, NO_CALCULATION = "暂无具备足够证据的事实结论。", "本次分析未列出。", "本次任务未执行表格计算。"
 NOT_ANALYZED = "Visual content has not been analyzed."
 
 
@@ -87,3 +90,40 @@ def figure_text(figure: Column, caption: Column, nearby: Column, description: Co
     """What a figure's chunks are cut from: its id, caption, text nearby, and its description or that it has none."""
     body = F.when(F.coalesce(description, F.lit("")) != "", F.concat(F.lit("VLM description (model-generated): "), description)).otherwise(F.lit(NOT_ANALYZED))
     return F.concat(F.lit("Figure "), figure.cast("string"), F.lit("\n"), F.coalesce(caption, F.lit("")), F.lit("\nNearby text: "), F.coalesce(nearby, F.lit("")), F.lit("\n"), body)
+
+
+def range_text(numbers: Column) -> Column:
+    """`1–3, 7` of an array of row numbers."""
+    first = F.slice(F.array_sort(F.array_distinct(numbers)), 1, 0)
+    gap = F.struct(first.alias("from"), first.alias("to"))
+
+    def step(a, n):
+        goes_on = F.element_at(a["to"], -1) == n - 1
+        to = F.concat(F.slice(a["to"], F.lit(1), F.greatest(F.size(a["to"]) - 1, F.lit(0))), F.array(n))
+        return F.when(F.coalesce((F.size(a["to"]) > 0) & goes_on, F.lit(False)), F.struct(a["from"].alias("from"), to.alias("to"))).otherwise(
+            F.struct(F.concat(a["from"], F.array(n)).alias("from"), F.concat(a["to"], F.array(n)).alias("to")))
+
+    def shown(a):
+        return F.array_join(F.zip_with(a["from"], a["to"], lambda x, y: F.when(x == y, x.cast("string")).otherwise(F.concat_ws("–", x, y))), ", ")
+
+    return F.aggregate(F.array_sort(F.array_distinct(numbers)), gap, step, shown)
+
+
+def outline(results: DataFrame, title: str) -> DataFrame:
+    """result, position, level, text: the rows of a report, in order. level: 0 title, 1 section, 2 part, 3 text. calculations have row_numbers, the rows they selected."""
+    row = lambda level, text: F.struct(F.lit(level).alias("level"), text.cast("string").alias("text"))
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    refs = lambda ids: F.array_join(F.transform(ids, lambda x: F.concat(F.lit("["), x, F.lit("]"))), " ")
+    head = lambda text: F.array(row(1, F.lit(text)))
+    or_else = lambda items, text: F.when(F.size(items) > 0, items).otherwise(F.array(row(3, F.lit(text))))
+    claims = lambda c: F.transform(c, lambda x, i: row(3, said(i + 1, ". ", x["text"], " ", refs(x["evidence_ids"]))))
+    plain = lambda c: F.transform(c, lambda x, i: row(3, said(i + 1, ". ", x)))
+    calculations = F.flatten(F.transform("calculations", lambda x, i: F.array(
+        row(2, said("计算 ", i + 1, "：", x["document_id"], " / ", x["calculation_id"])), row(3, said("全部选中源行：", range_text(x["row_numbers"]))))))
+    evidence = F.flatten(F.transform("evidence", lambda x: F.array(row(2, said("[", x["evidence_id"], "]")), row(3, said("文档 ID：", x["document_id"])))))
+    rows = F.concat(
+        F.array(row(0, F.lit(title))), head(SCOPE), F.array(row(3, F.col("question")), row(3, said("涉及 ", F.size("document_ids"), " 份资料；报告保留本次任务的证据和计算快照。"))),
+        head(SUMMARY), F.array(row(3, said(F.col("summary"), " ", refs(F.col("summary_evidence_ids"))))), head(FINDINGS), or_else(claims("findings"), NO_FINDING),
+        head(CONFLICTS), or_else(claims("conflicts"), NOTHING), head(ADVICE), or_else(plain("recommendations"), NOTHING), head(GAPS), or_else(plain("missing_information"), NOTHING),
+        head(CALCULATIONS), or_else(calculations, NO_CALCULATION), head(EVIDENCE), evidence)
+    return results.select("result", F.posexplode(rows).alias("position", "x")).select("result", F.col("position").cast("long").alias("position"), F.col("x.level").cast("long").alias("level"), "x.text")

@@ -71,6 +71,15 @@ def pl07_published(spark: SparkSession, sf: str) -> DataFrame:
     return reports.published(_results(spark, sf)).select("result", "summary", F.size("recommendations").cast("long").alias("recommendations"))
 
 
+def snk07_outline(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports of all conversations' results; rows that a calculation selected are by rule."""
+    r = _results(spark, sf)
+    rows = lambda x: F.filter(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long")), lambda n: ((n + F.col("result")) % 7 < 4) & (n % 11 != 0))
+    r = r.withColumn("calculations", F.transform("calculations", lambda x: F.struct(x["calculation_id"].alias("calculation_id"), x["document_id"].alias("document_id"), rows(x).alias("row_numbers"))))
+    r = r.withColumn("findings", F.transform("findings", lambda x: F.struct(F.md5(x["text"]).alias("text"), x["evidence_ids"].alias("evidence_ids"))))
+    return reports.outline(r, "Report")
+
+
 def wn05_figure_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that begin a page as figures: long ones have a description; texts are cut at 120 characters."""
     b = page_blocks(spark, sf).where("block_no = 0")
@@ -91,7 +100,7 @@ def scl18_prj02_calculations(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("k", F.array_join(w, "; ").alias("warnings"), F.to_json(at).alias("source"))
 
 
-QUERIES = {f.__name__: f for f in (src06_scl07_word_paragraphs, src06_word_tables, jn07_section_context, jn18_pl07_violations, pl07_published, wn05_figure_chunks, scl18_prj02_calculations)}
+QUERIES = {f.__name__: f for f in (src06_scl07_word_paragraphs, src06_word_tables, jn07_section_context, jn18_pl07_violations, pl07_published, snk07_outline, wn05_figure_chunks, scl18_prj02_calculations)}
 
 _WORD = """lines AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
 blk AS (SELECT doc, i, i % 10 = 4 AS tab, CASE WHEN i % 10 <> 4 AND i % 5 = 1 AND i % 6 <> 3 THEN (doc + i) % 3 + 1 END AS level,
@@ -126,6 +135,20 @@ SQL = {
       FROM bm JOIN chunks USING (chunk_id) LEFT JOIN x ON x.document = chunks.document WHERE rank <= 3""",
     "jn18_pl07_violations": f"WITH {_RESULTS} SELECT r AS result, rule, item FROM bad",
     "pl07_published": f"WITH {_RESULTS} SELECT r AS result, CASE WHEN r % 4 = 0 THEN '{reports.NO_EVIDENCE}' ELSE 's' END AS summary, CASE WHEN r % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS recommendations FROM r WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.r = r.r)",
+    "snk07_outline": f"""WITH {_RESULTS},
+      num AS (SELECT r, unnest(range(1, 31)) AS n FROM r), sel AS (SELECT r, n, n - row_number() OVER (PARTITION BY r ORDER BY n) AS i FROM num WHERE (n + r) % 7 < 4 AND n % 11 <> 0),
+      ran AS (SELECT r, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END, ', ' ORDER BY a) AS t FROM (SELECT r, min(n) AS a, max(n) AS b FROM sel GROUP BY r, i) GROUP BY r),
+      fin AS (SELECT conv_id AS r, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, md5(left(text, 40)) AS t FROM conversations WHERE role = 'assistant' AND conv_id % 8 <> 4),
+      o AS (
+        SELECT r, 0 AS s, 0 AS k, 0 AS level, 'Report' AS text FROM r UNION ALL SELECT r, 1, 0, 1, '{reports.SCOPE}' FROM r UNION ALL SELECT r, 1, 1, 3, CASE WHEN r % 10 = 0 THEN '' ELSE 'q' END FROM r
+        UNION ALL SELECT r, 1, 2, 3, '涉及 ' || CASE WHEN r % 3 = 0 THEN 7 ELSE 6 END || ' 份资料；报告保留本次任务的证据和计算快照。' FROM r UNION ALL SELECT r, 2, 0, 1, '{reports.SUMMARY}' FROM r
+        UNION ALL SELECT r, 2, 1, 3, 's ' || CASE r % 4 WHEN 0 THEN '' WHEN 1 THEN '[e0] [e0]' ELSE '[e0]' END FROM r UNION ALL SELECT r, 3, 0, 1, '{reports.FINDINGS}' FROM r
+        UNION ALL SELECT r, 3, k, 3, k || '. ' || t || ' [e' || turn || '] [e' || turn + 1 || ']' FROM fin UNION ALL SELECT r, 3, 1, 3, '{reports.NO_FINDING}' FROM r WHERE NOT EXISTS (SELECT 1 FROM fin WHERE fin.r = r.r)
+        UNION ALL SELECT r, 4, 0, 1, '{reports.CONFLICTS}' FROM r UNION ALL SELECT r, 4, 1, 3, '{reports.NOTHING}' FROM r UNION ALL SELECT r, 5, 0, 1, '{reports.ADVICE}' FROM r UNION ALL SELECT r, 5, 1, 3, '1. do' FROM r
+        UNION ALL SELECT r, 6, 0, 1, '{reports.GAPS}' FROM r UNION ALL SELECT r, 6, 1, 3, CASE WHEN r % 16 = 4 THEN '1. more' ELSE '{reports.NOTHING}' END FROM r UNION ALL SELECT r, 7, 0, 1, '{reports.CALCULATIONS}' FROM r
+        UNION ALL SELECT r, 7, 2 * k + 1, 2, '计算 ' || k + 1 || '：d' || d || ' / ' || id FROM ca UNION ALL SELECT r, 7, 2 * k + 2, 3, '全部选中源行：' || t FROM ca JOIN ran USING (r)
+        UNION ALL SELECT r, 8, 0, 1, '{reports.EVIDENCE}' FROM r UNION ALL SELECT r, 8, 2 * turn + 1, 2, '[' || id || ']' FROM ev UNION ALL SELECT r, 8, 2 * turn + 2, 3, '文档 ID：d' || d FROM ev)
+      SELECT r AS result, row_number() OVER (PARTITION BY r ORDER BY s, k) - 1 AS position, level::BIGINT AS level, text FROM o""",
     "scl18_prj02_calculations": """WITH s AS (SELECT s_suppkey AS k, s_name AS n, s_nationkey AS nation, CASE WHEN s_suppkey % 6 = 0 THEN 0 ELSE s_suppkey * 7 % 90 END AS sel FROM supplier)
       SELECT k, array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'given' END, 'parsed table only', 'text compared trimmed in NFC', CASE WHEN k % 3 = 0 THEN 'duplicate headers' END, CASE WHEN k % 5 = 0 THEN 'formula without value' END,
         CASE WHEN k % 4 = 0 THEN 'read by a vision model' END, CASE WHEN sel = 0 THEN 'nothing selected' END, CASE WHEN k % 2 = 0 THEN 'mean rounded' END, CASE WHEN sel > 50 THEN 'preview: 50 of ' || sel END], lambda x: x IS NOT NULL), '; ') AS warnings,

@@ -1,4 +1,10 @@
-"""A corpus pipeline: quality rules, near duplicates, decontamination, pseudonyms, packing. Each stage works on what the one before kept."""
+"""A corpus pipeline: quality rules, near duplicates, decontamination, pseudonyms, packing. Each stage works on what the one before kept.
+
+Defined results, besides those of the operators: a null or empty text fails the quality rules, so later stages of run() see none; a stage given some keeps them (near
+duplicates and decontamination link and match nothing to them, packing gives them their one end token). Texts of any length are taken whole. Rows of equal doc_id share
+their fate in stages that take documents out by id; rows of a null doc_id are kept by these. Of equal texts the smallest doc_id stays. Stages but the last return the
+columns of their input, whatever their names, in their order; n_chars follows the text where pseudonyms change it. An empty table passes all stages.
+"""
 
 from __future__ import annotations
 

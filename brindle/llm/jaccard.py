@@ -33,7 +33,7 @@ from brindle.llm.components import connected_components
 from brindle.llm.shingles import shingles
 from brindle.llm.storage import materialize
 
-FLUSH, BUCKET = 1 << 19, 1 << 20  # shingles that a task sends at once, and those of a bucket on average
+FLUSH, BUCKET = 1 << 19, 1 << 19  # shingles that a task sends at once, and those of a bucket on average
 TILE_DOCS, TILE_SHINGLES = 1024, 1 << 20
 BITMAP_WORDS = 32  # of 64 bits
 SEND_ROWS = 1_000_000  # of two longs, at most sent to all executors

@@ -24,6 +24,25 @@ def newest(log: DataFrame, n: int, order: list[str], by: list[str] | None = None
     return log.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+UNFINISHED = ("queued", "running")
+FINISHED_KEPT = 10_000  # finished tasks kept that may be listed and sent to all executors
+
+
+def retained_jobs(jobs: DataFrame, now: float, days: float = 30, newest_n: int = 199) -> DataFrame:
+    """The jobs (id, status, created_at, updated_at; in seconds) that stay: unfinished ones, and of finished ones the newest_n created last (of equal times the
+    larger id) if they changed within so many days. The newest are a list of newest_n, found by tasks that keep as many each."""
+    if not 0 <= newest_n <= FINISHED_KEPT:
+        raise ValueError("too many finished jobs to list")
+    open_ = F.coalesce(F.col("status").isin(*UNFINISHED), F.lit(False))
+    last = newest(jobs.where(~open_), newest_n, ["created_at", "id"]).where(F.col("updated_at") >= now - days * 86400).select(F.col("id").alias("__kept"))
+    return jobs.where(open_).unionByName(jobs.where(~open_).join(F.broadcast(last), F.col("id") == F.col("__kept"), "left_semi"))
+
+
+def live_sessions(sessions: DataFrame, now: float, newest_n: int = 10) -> DataFrame:
+    """The sessions (user, id, expires in seconds) of which none has expired, the newest_n of each user that end last."""
+    return newest(sessions.where(F.col("expires") >= now), newest_n, ["expires", "id"], by=["user"])
+
+
 def breaker(calls: DataFrame, most: int = 16, failures: int = 3) -> DataFrame:
     """calls (key, idx from 0, ok) with status complete, failed or skipped: after so many failures in a row, or most calls, no more are made.
     Nothing resets a breaker that has opened, so its place is the end of the first such run."""
@@ -151,3 +170,11 @@ def _fold(owners: list, changes: list[int], held: Counter, per_owner: int, in_al
 def latest_state(events: DataFrame) -> DataFrame:
     """task, status of events (task, status, at, id)."""
     return events.groupBy("task").agg(F.max_by("status", F.struct("at", "id")).alias("status"))
+
+
+def after_restarts(states: DataFrame, restarts: DataFrame) -> DataFrame:
+    """states (task, status, at) when services have restarted (at): a task that was unfinished at a restart after its last event has failed, as nothing goes on with
+    it. Only the last restart can tell."""
+    last = F.broadcast(restarts.agg(F.max("at").alias("__restart")))
+    lost = F.coalesce(F.col("status").isin(*UNFINISHED) & (F.col("at") < F.col("__restart")), F.lit(False))
+    return states.join(last).select("task", F.when(lost, "failed").otherwise(F.col("status")).alias("status"), F.when(lost, F.col("__restart")).otherwise(F.col("at")).alias("at"), lost.alias("interrupted"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import tokenize
 from brindle.operators.lexical import PLACES, top
+from brindle.operators.sizes import sent
 
 KS = (1, 3, 5, 10)
 MODES = ("bm25", "dense", "image", "hybrid", "hybrid_rerank", "multimodal", "multimodal_rerank")
@@ -41,7 +42,7 @@ def overlap_score(question: Column, passage: Column) -> Column:
 
 def rerank(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, score=overlap_score) -> DataFrame:
     """candidates: query_id, chunk_id. score: a function of question and passage columns; a pandas UDF will do."""
-    rows = chunks.join(F.broadcast(candidates.select("query_id", "chunk_id").distinct()), "chunk_id").join(F.broadcast(questions), "query_id")
+    rows = chunks.join(sent(candidates.select("query_id", "chunk_id").distinct()), "chunk_id").join(sent(questions), "query_id")
     scored = rows.select("query_id", "chunk_id", F.round(score(F.col("question"), F.concat_ws("\n", "section", "content")), PLACES).alias("score"))
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     return top(scored.withColumn("score", F.when(finite, F.col("score")).otherwise(F.raise_error(F.lit("a score is not finite")))), k)
@@ -58,6 +59,20 @@ def resolve_mode(mode: str, dense: bool, image: bool, reranker: bool) -> str:
     return mode
 
 
+def retrieved(mode: str, k: int, bm25, dense=None, image=None, rerank=None, candidates: int = 20) -> DataFrame:
+    """query_id, chunk_id, score, rank, at most k a query, by one of MODES or auto. bm25, dense and image: functions of a number that give so many a query
+    as query_id, chunk_id, score, rank; rerank: a function of candidates and k. A channel that is not there is None: modes that need it are refused, and
+    multimodal ones fuse the text vectors only where there are any. Filters belong to the channels, so each fills its places with what passes them."""
+    mode = resolve_mode(mode, dense is not None, image is not None, rerank is not None)
+    single = {"bm25": bm25, "dense": dense, "image": image}
+    if mode in single:
+        return single[mode](k)
+    n = max(k, candidates)
+    used = {name: f for name, f in single.items() if f is not None and (name != "image" or mode.startswith("multimodal"))}
+    fused = top(reciprocal_rank_fusion(channels({name: f(n) for name, f in used.items()})), n)
+    return rerank(fused, k) if mode.endswith("_rerank") else fused.where(F.col("rank") <= k)
+
+
 def _at_most(k: int):
     return lambda r: r <= k
 

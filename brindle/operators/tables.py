@@ -107,6 +107,41 @@ def groups(rows: DataFrame, spec: Spec, width: int, on_error: str = "raise", lin
     return out.withColumn("label", F.when(F.col("key") == "", BLANK).otherwise(F.col("key")))
 
 
+GROUPS, TABLES = 200, 1000  # fixed values: groups of an analysis, tables of a catalog
+UNNAMED = "未命名列"  # fixed value: the label of a column without a name
+
+
+def grouped_or_refused(rows: DataFrame, spec: Spec, width: int, on_error: str = "raise", most: int = GROUPS) -> DataFrame:
+    """status, overall, key, label, count, value: the groups, with the value over all selected rows, or, beyond `most` groups, one row of status `refused`: nothing is
+    cut off or merged. One more group than allowed is enough to refuse, so at most so many meet in the last task."""
+    found = groups(rows, spec, width, on_error, lineage=False).limit(most + 1)
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    found = found.withColumn("__refused", n > most).withColumn("__at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")))
+    shown = lambda c: F.when(~F.col("__refused"), F.col(c)).alias(c)
+    overall = F.sum("count").over(Window.partitionBy(F.lit(0))).cast("string")
+    if spec.operation == "group_sum":
+        overall = render(F.sum(F.col("value").cast("decimal(38,10)")).over(Window.partitionBy(F.lit(0))))
+    kept = found.withColumn("overall", overall).where("NOT __refused OR __at = 1")
+    return kept.select(F.when(F.col("__refused"), "refused").otherwise("complete").alias("status"), shown("overall"), *[shown(c) for c in ("key", "label", "count", "value")])
+
+
+def catalog(tables: DataFrame, rows: DataFrame, warnings: DataFrame, most: int = TABLES) -> DataFrame:
+    """collection, document, table, caption, columns (index, name, label), row_count, column_count, source, warnings of tables (collection, document, filename, table, caption,
+    headers), and status: `refused`, with nothing but the collection, where a collection has more than `most` tables. rows: document, table, one each; warnings: document, warning."""
+    n = rows.groupBy("document", "table").agg(F.count("*").alias("row_count"))
+    told = warnings.where("warning IS NOT NULL").groupBy("document").agg(F.array_sort(F.collect_set("warning")).alias("warnings"))
+    too_many = tables.groupBy("collection").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("collection")
+    refused = too_many.withColumn("status", F.lit("refused"))
+    label = lambda name, i: F.concat((i + 1).cast("string"), F.lit(". "), F.when(name == "", UNNAMED).otherwise(name))
+    columns = F.transform(F.transform("headers", lambda h: F.coalesce(h, F.lit(""))), lambda h, i: F.struct(i.alias("index"), h.alias("name"), label(h, i).alias("label")))
+    good = tables.join(too_many, "collection", "left_anti").join(n, ["document", "table"], "left").join(told, "document", "left")
+    source = F.struct("collection", "document", "filename", "table", "caption")
+    out = good.select(
+        "collection", F.lit("listed").alias("status"), "document", "table", "caption", columns.alias("columns"), F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.size("headers").cast("long").alias("column_count"), source.alias("source"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    return out.unionByName(refused, allowMissingColumns=True)
+
+
 def lineage(rows: DataFrame, by: list[str], block: int = 1 << 16) -> DataFrame:
     """by, first, last: the row_numbers (each once) of each group as ranges without gaps, one row a range. Ranges are made within blocks of the table, so the rows of
     a group never meet, however many they are; only ranges that touch a block's border are shuffled by group, two a block at most, to be joined across borders."""

@@ -69,7 +69,7 @@ class Models:
     logp: list[np.ndarray]
     context_hashes: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: float
+    floor: np.ndarray
     limits: np.ndarray
 
     def score(self, keys: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def build(langs: list[str], lang: np.ndarray, key: np.ndarray, count: np.ndarray
             order_ = np.argsort(mixed)
             names.append(mixed[order_])
             values.append(np.log(v[order_]).astype(np.float32))
-    floor = float(np.log(1 / vocabulary)) + float(np.mean(backoff[0]))
+    floor = np.log(1 / vocabulary).astype(np.float32) + backoff[0][0]
     return Models(langs, hashes, logp, context_hashes, backoff, floor, np.full(n, np.inf))
 
 

@@ -7,11 +7,12 @@ different ones. The local part of an e-mail address, and secrets after token, pa
 is replaced within its class by a keyed hash of the whole value, which links equal values too. Numbers that are not valid stay.
 
 Kinds are sought in turn (PASSES). Of a match that takes in what follows, the longest valid part up to a separator counts (an IBAN of its
-country's length before others); what is not replaced is text again, in which later kinds are sought. Runs of digits are tried from each of
+country's length before others, and alone in lower case); what is not replaced is text again, in which later kinds are sought. Runs of digits are tried from each of
 their groups; a part of a run has three digits a group on average at least, as most rows of short numbers hold a valid card by chance.
 
 Defined results: null text stays null, a text without such data stays as it is, a text of any length is searched whole. All rows, repeated ones too, and columns are
 carried, whatever their names; equal values get equal pseudonyms wherever they stand. An empty table gives no rows. Of two kinds that fit at one place the first of PASSES counts.
+A phone number keeps its country's code and leading zeros, and is linked with itself written without the code or with a trunk zero.
 Dates from 1600 to 2399 are permuted among themselves; others stay. dd/mm/yyyy comes before mm/dd/yyyy; dates that are only the latter
 (days beyond 12) are permuted among themselves.
 """
@@ -30,12 +31,13 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: kind: pattern
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9_])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\s?[=:]\s?[\x22']?[A-Za-z0-9+/_-]{12,}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
-    "day_first": r"(?<![0-9./])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9/])",
+    "secret": r"(?<![A-Za-z0-9_])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\s?[=:]\s?[\x22']?[A-Za-z0-9+/_-]{12,}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9_])gh[pousr]_(?=[A-Za-z]*[0-9])[A-Za-z0-9]{20,}|(?<![A-Za-z0-9_])(?i:bearer)\s(?=[A-Za-z+/_.~-]*[0-9])[A-Za-z0-9+/_.~-]{16,}",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "iso_date": r"(?<![0-9/-])[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9/-])",
+    "day_first": r"(?<![0-9./-])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.|-[0-9]{2}-)[0-9]{4}(?![0-9/-])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9.vV])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
     "national": r"(?<![0-9A-Za-z+])\(0?[1-9][0-9]{1,3}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z.+/-])(?<![0-9] )(?:[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9/]|[ .-][0-9])",
     "card_form": r"(?<![0-9.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
@@ -52,6 +54,7 @@ IBAN_LENGTHS = {c: n for n, cs in {
 #: Country codes of one and of two digits; all others have three.
 ONE_DIGIT_CODES = "^[17]"
 TWO_DIGIT_CODES = "^(?:20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+NORTH_AMERICAN = "^[2-9][0-9]{2}[2-9][0-9]{6}$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _FIRST_DAY, _DAYS = "1600-01-01", 292194  # to 2399-12-31
 
@@ -153,12 +156,30 @@ def _card(m: Column, key: str) -> Column:
     return _let(d.substr(F.lit(1), n - 1), use)
 
 
+def _subscriber(d: Column, key: str) -> Column:
+    """The digits of a number behind its country's code: leading zeros stay, and what follows is permuted among numbers of its length that begin with no zero and,
+    of ten digits, fit North America's plan or do not, as it does. What falls outside is permuted again until it falls inside."""
+    zeros = F.length(d) - F.length(F.ltrim(d, F.lit("0")))
+    plan = lambda x: x.rlike(NORTH_AMERICAN)
+
+    def walked(body: Column) -> Column:
+        good = lambda v: ~v.startswith("0") & (plan(v) == plan(body))
+        once = lambda v: _permuted(key, "phone", v)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(127)), once(body), lambda v, _: F.when(good(v), v).otherwise(once(v)))
+
+    return _let(zeros, lambda z: F.when(z == F.length(d), d).otherwise(F.concat(F.repeat(F.lit("0"), z), _let(d.substr(z + 1, F.length(d)), walked))))
+
+
 def _phone(m: Column, key: str) -> Column:
-    """The country's code stays; it follows from the digits alone, so spellings of a number stay linked."""
+    """The country's code stays; it follows from the digits alone, so spellings of a number stay linked, with its national ones too."""
     d = _digits(m)
     n = F.length(d)
     country = F.when(d.rlike(ONE_DIGIT_CODES), 1).when(d.rlike(TWO_DIGIT_CODES), 2).otherwise(3)
-    return _let(F.greatest(country, n - 18), lambda c: _refilled(m, F.concat(d.substr(F.lit(1), c), _permuted(key, "phone", d.substr(c + 1, n)))))
+    return _let(F.greatest(country, n - 18), lambda c: _refilled(m, F.concat(d.substr(F.lit(1), c), _let(d.substr(c + 1, n), lambda s: _subscriber(s, key)))))
+
+
+def _national(m: Column, key: str) -> Column:
+    return _refilled(m, _let(_digits(m), lambda d: _subscriber(d, key)))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -171,7 +192,7 @@ def _ip(m: Column, key: str) -> Column:
 
 def _iban(m: Column, key: str) -> Column:
     plain = F.regexp_replace(m, " ", "")
-    check = lambda x: F.lpad((98 - _mod97(F.concat(x, F.substring(plain, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    check = lambda x: F.lpad((98 - _mod97(F.upper(F.concat(x, F.substring(plain, 1, 2), F.lit("00"))))).cast("string"), 2, "0")
     respaced = lambda fresh: F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), lambda c, i: F.when(c == " ", c).otherwise(
         fresh.substr(F.length(F.regexp_replace(m.substr(F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
 
@@ -190,7 +211,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    name = F.regexp_extract(m, r"^(AKIA|[A-Za-z_-]+\s?[=:]\s?[\x22']?)", 1)
+    name = F.regexp_extract(m, r"^(AKIA|gh[pousr]_|(?i:bearer)\s|[A-Za-z_-]+\s?[=:]\s?[\x22']?)", 1)
     return _let(name, lambda name: _let(m.substr(F.length(name) + 1, F.length(m)), lambda value: F.concat(name, _scrambled(key, "secret", value, value))))
 
 
@@ -202,13 +223,13 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _day_first(m: Column, key: str) -> Column:
-    return F.when(m.contains("."), _date(m, "dd.MM.yyyy", key)).when(m.substr(4, 2) > "12", _month_first(m, key)).otherwise(_date(m, "dd/MM/yyyy", key))
+    return F.when(m.contains("."), _date(m, "dd.MM.yyyy", key)).when(m.contains("-"), _date(m, "dd-MM-yyyy", key)).when(m.substr(4, 2) > "12", _month_first(m, key)).otherwise(_date(m, "dd/MM/yyyy", key))
 
 
 #: what stands for a valid value of a kind; a date that is none stays
 PSEUDONYMS = {
-    "email": _email, "secret": _secret, "iban": _iban, "iso_date": lambda m, key: _date(m, "yyyy-MM-dd", key), "day_first": _day_first,
-    "ssn": _ssn, "ip": _ip, "phone": _phone, "national": lambda m, key: _refilled(m, _permuted(key, "national", _digits(m))),
+    "email": _email, "secret": _secret, "iban": _iban, "iso_date": lambda m, key: F.when(m.contains("/"), _date(m, "yyyy/MM/dd", key)).otherwise(_date(m, "yyyy-MM-dd", key)), "day_first": _day_first,
+    "ssn": _ssn, "ip": _ip, "phone": _phone, "national": _national,
     "card_form": _card, "card": _card,
 }
 
@@ -231,7 +252,7 @@ def _is_card(m: Column) -> Column:
 
 
 def _is_iban(m: Column) -> Column:
-    plain = F.regexp_replace(m, " ", "")
+    plain = F.upper(F.regexp_replace(m, " ", ""))
     n = F.length(plain)
     return F.when(n.between(12, 35), _mod97(F.concat(plain.substr(F.lit(5), n), plain.substr(1, 4))) == 1).otherwise(False)
 
@@ -239,15 +260,15 @@ def _is_iban(m: Column) -> Column:
 def _start(m: Column, kind: str, key: str) -> Column:
     """The longest valid part from the start of a match to the end of one of its groups, and what is left."""
     if kind == "iban":
-        groups, ok = r" ?[A-Z0-9]+", _is_iban
+        groups, ok = r" ?[A-Za-z0-9]+", _is_iban
     else:
         groups, ok = r"[^0-9]*[0-9]+", _is_card if kind == "card_form" else lambda x: F.length(_digits(x)).between(8, 15)
     parts = F.regexp_extract_all(m, F.lit(groups), F.lit(0))
     fit = F.filter(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda j: F.array_join(F.slice(parts, F.lit(1), j), "")), ok)
     if kind == "iban":
         lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
-        exact = F.filter(fit, lambda x: F.length(F.regexp_replace(x, " ", "")) == F.try_element_at(lengths, m.substr(1, 2)))
-        best = F.coalesce(F.get(exact, F.lit(0)), F.get(fit, F.lit(0)))
+        exact = F.filter(fit, lambda x: F.length(F.regexp_replace(x, " ", "")) == F.try_element_at(lengths, F.upper(m.substr(1, 2))))
+        best = F.coalesce(F.get(exact, F.lit(0)), F.when(m.rlike("^[A-Z]"), F.get(fit, F.lit(0))))
     else:
         best = F.get(fit, F.lit(0))
     return _let(best, lambda x: F.when(x.isNull(), F.array(_piece(m))).otherwise(

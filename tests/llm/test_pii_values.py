@@ -17,9 +17,14 @@ CASES = [
     ("call (743) 555-3824 now", ["555-3824"], 1),
     ("call 743-555-3824 now", ["555-3824"], 1),
     ("password: correcthorsebattery", ["correcthorsebattery"], 1),
+    ("to de89 3704 0044 0532 0130 00 then", ["3704 0044"], 1),
+    ("on 1984/02/29, 29-02-1984", ["1984/02/29", "29-02-1984"], 2),
+    ("Authorization: Bearer abcdef0123456789xyz end", ["abcdef0123456789xyz"], 1),
+    ("ghp_abcdefghij0123456789klmn", ["abcdefghij0123456789klmn"], 1),
+    ("call 07911 123456 now", ["911 123456"], 1),
     ("on 12/25/2026 and 25/12/2026", ["12/25/2026", "25/12/2026"], 2),
 ]
-KEPT = ["13/25/2026", "card 4111 1111 1111 1112", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "BE68 5390 0754 7035", "id 9807915762804490", "a: b = c", "7435553824"]
+KEPT = ["13/25/2026", "card 4111 1111 1111 1112", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "BE68 5390 0754 7035", "id 9807915762804490", "a: b = c", "7435553824", "release v1.2.3.4", "1984/02/30", "bearer responsibilities", "de89 3704 0044 0532 0130 02"]
 
 
 def test_values(spark):
@@ -43,3 +48,21 @@ def test_forms_stay_valid_and_spellings_linked(spark):
     one, two = digits("a key"), digits("another")
     assert len(set(one[:3])) == 1 and len(set(one[3:])) == 1 and one[0].startswith("49") and one[3].startswith("1")
     assert one[0] not in (re.sub(r"\D", "", phones[0]), two[0])
+
+
+def test_national_numbers_keep_their_plan_and_are_linked(spark):
+    """A number, its spelling with the country's code and that with a trunk zero lose the same digits to the same pseudonym; forms stay valid."""
+    plan = re.compile("[2-9][0-9]{2}[2-9][0-9]{6}")
+    same = [("+1 743 555 3824", "743 555 3824", "(743) 555-3824"), ("+44 20 7946 0958", "+44 (0)20 7946 0958", "(020) 7946 0958"), ("+44 7911 123456", "07911 123456", "07911/123456")]
+    df = spark.createDataFrame([(i, j, t) for i, ts in enumerate(same) for j, t in enumerate(ts)], "i int, j int, text string")
+    new = {(r["i"], r["j"]): r["__text"] for r in pseudonymized(df, "a key").select("__row.i", "__row.j", "__text").collect()}
+    code = {0: "1", 1: "44", 2: "44"}
+    for i, ts in enumerate(same):
+        bodies = {re.sub(r"\D", "", new[i, j])[len(code[i]) if t.startswith("+") else 0 :].lstrip("0") for j, t in enumerate(ts)}
+        assert len(bodies) == 1 and all(new[i, j] != t for j, t in enumerate(ts)), (ts, [new[i, j] for j in range(3)])
+        assert all(new[i, j].startswith("+" + code[i]) for j, t in enumerate(ts) if t.startswith("+"))
+    assert "(0)" in new[1, 1] and new[1, 2].startswith("(0") and new[2, 1].startswith("0") and plan.fullmatch(re.sub(r"\D", "", new[0, 1]))
+    numbers = [f"{200 + k % 800} {200 + k * 7 % 800} {k:04d}" for k in range(600)] + [f"0{1000 + k * 13} {100000 + k * 997}" for k in range(600)]
+    got = [r["__text"] for r in pseudonymized(spark.createDataFrame(list(enumerate(numbers)), "i int, text string").repartition(4), "a key").orderBy("__row.i").collect()]
+    assert all(plan.fullmatch(x.replace(" ", "")) for x in got[:600]) and all(re.fullmatch("0[1-9][0-9]{3} [0-9]{6}", x) for x in got[600:])
+    assert len(set(got)) == len(set(numbers)) and sum(a == b for a, b in zip(got, numbers, strict=True)) < 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,25 @@ def tokenize(text: Column) -> Column:
     return F.when(cjk, F.flatten(F.transform(found, lambda x: F.when(x.rlike("^[一-鿿]"), F.concat(chars(x), pairs(x))).otherwise(F.array(x))))).otherwise(found)
 
 
+#: Fixed value: white space of any kind, as strip() takes it off.
+SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LEADING, _TRAILING = re.compile(f"[{SPACE}]*"), re.compile(f"[{SPACE}]+\\Z")
+_CUT = re.compile("(?s).*(?:[。！？.!?][ \\t-\\r]*|[ \\t-\\r]+)")
+
+
+def split_parts(text: str, limit: int) -> list[str]:
+    """What split_text() makes of a text without white space at its ends, for one long text at a time: each part is cut from its own place, the rest is not copied."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        found = _CUT.match(text, at, at + limit + 1)
+        end = min(at + limit, found.end() if found and found.end() > at else at + limit)
+        part = _TRAILING.sub("", text[at:end])
+        if part:
+            out.append(part)
+        at = _LEADING.match(text, end).end()
+    return [*out, text[at:]] if at < len(text) else out
+
+
 def split_text(text: Column, limit: int) -> Column:
     """Parts of at most `limit` characters, cut behind the last sentence mark or white space in reach, else hard."""
     cut = lambda t: F.least(F.lit(limit), F.coalesce(F.nullif(F.length(F.regexp_extract(F.left(t, F.lit(limit + 1)), BOUNDARY, 0)), F.lit(0)), F.lit(limit)))

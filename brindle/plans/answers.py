@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import caption_kind
 from brindle.operators import evidence, layout
+from brindle.operators.sizes import sent
 from brindle.plans import corpus, retrieval
-from brindle.sources import views
+from brindle.sources import snapshots, views
 from brindle.sources.files import canonical_json
 from brindle.sources.views import table
 
 
 def pl02_scl11_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Each question's three best chunks as a numbered answer; questions whose id is divisible by 5 have no hits."""
-    hits = retrieval._bm25(spark, sf, 3).where("query_id % 5 <> 0").join(views.chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
+    found = snapshots.written(retrieval._bm25(spark, sf, 3).where("query_id % 5 <> 0"), "found")
+    hits = retrieval._indexed(spark, sf, "chunks").select("chunk_id", "content").join(sent(found), "chunk_id")
     return evidence.excerpts(views.questions(spark, sf), hits).select("query_id", F.md5("answer").alias("answer"))
 
 

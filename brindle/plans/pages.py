@@ -80,10 +80,8 @@ def pl06_visible_search(spark: SparkSession, sf: str) -> DataFrame:
     asked = asked.where("actor < 15").select("query_id", "actor")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document"), F.col("source").alias("collection"))
     seen = access.visible(docs, asked.select("actor").distinct(), **_grants(spark, sf)).select("actor", F.lpad(F.col("document").cast("string"), 8, "0").alias("document"))
-    terms = lexical.query_terms(views.questions(spark, sf)).join(chunks.select("collection").distinct(), F.lit(True))
-    found = lexical.scores(_indexed(spark, sf, "postings"), chunks.select("collection", F.size("tokens").alias("length")), terms)
-    found = found.withColumn("document", F.split_part("chunk_id", F.lit(":"), F.lit(1))).join(asked, "query_id").join(seen, ["actor", "document"], "left_semi")
-    ranked = lexical.top(found, 3, by=("query_id", "actor", "collection"))
+    readers = seen.groupBy("document").agg(F.collect_set("actor").alias("readers"))  # among those that ask: few
+    ranked = lexical.best(chunks.join(readers, "document", "left"), views.questions(spark, sf), 3, by=("collection",), asked=asked)
     return ranked.select("query_id", "actor", "collection", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 

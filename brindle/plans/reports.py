@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import split_text, url_encode
 from brindle.operators import reports
+from brindle.operators.sizes import sent
 from brindle.plans import retrieval
 from brindle.plans.pages import _BLOCKS
 from brindle.plans.pages import _blocks as page_blocks
 from brindle.plans.retrieval import _ALL, _C
-from brindle.sources import files
+from brindle.sources import files, snapshots
 from brindle.sources.views import table
 
 
@@ -41,9 +42,12 @@ def src06_word_tables(spark: SparkSession, sf: str) -> DataFrame:
 def jn07_section_context(spark: SparkSession, sf: str) -> DataFrame:
     """The three best chunks of each question, with all paragraphs of their section and page."""
     chunks = retrieval._indexed(spark, sf, "chunks").select("chunk_id", "document", "section", "page", "content")
-    hits = retrieval._bm25(spark, sf, 3).join(chunks, "chunk_id").select(F.concat_ws("/", "query_id", "chunk_id").alias("hit"), "document", "section", "page", F.lit(None).cast("string").alias("source"), "content")
+    found = snapshots.written(retrieval._bm25(spark, sf, 3).select("query_id", "chunk_id"), "found")
+    hits = chunks.join(sent(found), "chunk_id").select(F.concat_ws("/", "query_id", "chunk_id").alias("hit"), "document", "section", "page", F.lit(None).cast("string").alias("source"), "content")
+    hits = snapshots.written(hits, "hits")
     d = table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("document"), F.format_string("doc_%d", "doc_id").alias("section"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
     paragraphs = d.where("trim(text) <> '' AND place % 9 <> 8").select("document", "section", F.lit(1).alias("page"), F.lit(None).cast("string").alias("source"), "place", "text")
+    paragraphs = paragraphs.join(sent(hits.select("document").distinct()), "document", "left_semi")
     return reports.section_context(hits, paragraphs).select("hit", F.md5("context").alias("context"), "truncated")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import tokenize
 from brindle.operators import lexical, ranking, vectors
+from brindle.operators.sizes import sent
 from brindle.sources import snapshots, views
 
 K, CANDIDATES = 10, 20
@@ -25,7 +26,7 @@ def scl02_wn03_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ag04_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.postings(views.chunks(spark, sf)).groupBy("collection", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return lexical.term_counts(views.tokenized(views.chunks(spark, sf))).groupBy("collection", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def ag05_corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,18 +38,12 @@ def _indexed(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str, k: int, keep=None) -> DataFrame:
-    chunks = _indexed(spark, sf, "chunks")
-    terms, lengths = lexical.query_terms(views.questions(spark, sf)), chunks.select(F.size("tokens").alias("length"))
-    return lexical.top(lexical.scores(_indexed(spark, sf, "postings"), lengths, terms, by=(), kept=None if keep is None else chunks.where(keep)), k)
+    return lexical.best(_indexed(spark, sf, "chunks"), views.questions(spark, sf), k, keep=keep)
 
 
 def jn03_ag06_collection_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """Each question in each collection: every collection has its own statistics and its own ten best."""
-    chunks = _indexed(spark, sf, "chunks")
-    collections = chunks.select("collection").distinct()
-    terms = lexical.query_terms(views.questions(spark, sf)).join(collections, F.lit(True))
-    found = lexical.scores(_indexed(spark, sf, "postings"), chunks.select("collection", F.size("tokens").alias("length")), terms)
-    ranked = lexical.top(found, K, by=("query_id", "collection"))
+    ranked = lexical.best(_indexed(spark, sf, "chunks"), views.questions(spark, sf), K, by=("collection",))
     return ranked.select("collection", "query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -113,9 +108,12 @@ def ud01_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(_embedded(spark, sf, K))
 
 
+def _fusion(bm25: DataFrame, dense: DataFrame) -> DataFrame:
+    return lexical.top(ranking.reciprocal_rank_fusion(ranking.channels({"bm25": bm25, "dense": dense})), CANDIDATES)
+
+
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    both = ranking.channels({"bm25": _bm25(spark, sf, CANDIDATES), "dense": _embedded(spark, sf, CANDIDATES)})
-    return lexical.top(ranking.reciprocal_rank_fusion(both), CANDIDATES)
+    return _fusion(_bm25(spark, sf, CANDIDATES), _embedded(spark, sf, CANDIDATES))
 
 
 def ag07_so01_tk07_wn06_hybrid(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,26 +121,28 @@ def ag07_so01_tk07_wn06_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tk03_ud03_hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(ranking.rerank(_fused(spark, sf), views.questions(spark, sf), _indexed(spark, sf, "chunks"), K))
+    found = snapshots.written(_fused(spark, sf).select("query_id", "chunk_id"), "candidates")
+    return _shown(ranking.rerank(found, views.questions(spark, sf), _indexed(spark, sf, "chunks"), K))
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, chunk_id: chunks with a passage's first 60 characters. Passages are few and short, and go to all executors."""
+    """query_id, chunk_id: chunks with a passage's first 60 characters."""
     q = views.questions(spark, sf).select("query_id", F.left("question", F.lit(60)).alias("start"))
-    return _indexed(spark, sf, "chunks").join(F.broadcast(q), F.contains("content", "start")).select("query_id", "chunk_id")
+    return lexical.containing(_indexed(spark, sf, "chunks"), q)
 
 
 def ag18_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.metrics(_bm25(spark, sf, K), gold(spark, sf))
+    return ranking.metrics(_bm25(spark, sf, K), snapshots.written(gold(spark, sf), "gold"))
 
 
 def ag19_ag20_pl03_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """By mode: status, questions with and without gold, means of the metrics. Image modes have no index here."""
-    g = gold(spark, sf)
+    """By mode: status, questions with and without gold, means of the metrics. Image modes have no index here. Each channel is searched once."""
+    g = snapshots.written(gold(spark, sf), "gold")
     n = views.questions(spark, sf).join(g.select("query_id").distinct().withColumn("has", F.lit(1)), "query_id", "left").agg(F.count("has").alias("relevance_samples"), (F.count("*") - F.count("has")).alias("unanswerable_samples"))
     out = None
-    for mode, df in {"bm25": _bm25(spark, sf, K), "dense": _embedded(spark, sf, K), "hybrid": _fused(spark, sf).where(F.col("rank") <= K)}.items():
-        part = ranking.summarize(ranking.metrics(df, g)).select(F.lit(mode).alias("mode"), F.lit("completed").alias("status"), *["mrr", "hit_5", "recall_5", "ndcg_5"])
+    bm25, dense = (snapshots.written(f(spark, sf, CANDIDATES), "found") for f in (_bm25, _embedded))
+    for mode, df in {"bm25": bm25, "dense": dense, "hybrid": _fusion(bm25, dense)}.items():
+        part = ranking.summarize(ranking.metrics(df.where(F.col("rank") <= K), g)).select(F.lit(mode).alias("mode"), F.lit("completed").alias("status"), *["mrr", "hit_5", "recall_5", "ndcg_5"])
         out = part if out is None else out.unionByName(part)
     missing = spark.range(1).select(F.lit("image").alias("mode"), F.lit("unavailable").alias("status"), *[F.lit(None).cast("double").alias(c) for c in ("mrr", "hit_5", "recall_5", "ndcg_5")])
     out = out.unionByName(missing).crossJoin(F.broadcast(n))
@@ -152,7 +152,9 @@ def ag19_ag20_pl03_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 def jn14_gold_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Gold that no chunk has: every seventh question's is made up."""
     wrong = views.questions(spark, sf).where("query_id % 7 = 0").select("query_id", F.lit("nowhere:0").alias("chunk_id"))
-    return gold(spark, sf).unionByName(wrong).join(views.chunks(spark, sf).select("chunk_id"), "chunk_id", "left_anti").select("query_id", "chunk_id")
+    listed = snapshots.written(gold(spark, sf).unionByName(wrong), "gold")
+    there = _indexed(spark, sf, "chunks").select("chunk_id").join(sent(listed.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return listed.join(there, "chunk_id", "left_anti").select("query_id", "chunk_id")
 
 
 QUERIES = {f.__name__: f for f in (

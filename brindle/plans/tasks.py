@@ -28,10 +28,12 @@ def _image(spark: SparkSession, sf: str):
 
 def pl01_image_modes(spark: SparkSession, sf: str) -> DataFrame:
     """The modes that search images, over a corpus without text vectors: words and images are fused."""
-    rerank = lambda found, k: ranking.rerank(found, views.questions(spark, sf), retrieval._indexed(spark, sf, "chunks"), k)
+    rerank = lambda found, k: ranking.rerank(snapshots.written(found.select("query_id", "chunk_id"), "candidates"), views.questions(spark, sf), retrieval._indexed(spark, sf, "chunks"), k)
+    words, pictures = (snapshots.written(f(max(retrieval.K, retrieval.CANDIDATES)), "found") for f in (lambda n: retrieval._bm25(spark, sf, n), _image(spark, sf)))  # once for all modes
+    first = lambda df: lambda n: df.where(F.col("rank") <= n)
     out = None
     for mode in MODES:
-        found = ranking.retrieved(mode, retrieval.K, lambda n: retrieval._bm25(spark, sf, n), image=_image(spark, sf), rerank=rerank)
+        found = ranking.retrieved(mode, retrieval.K, first(words), image=first(pictures), rerank=rerank)
         part = retrieval._shown(found).withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     return out
@@ -41,7 +43,8 @@ def snk02_report(spark: SparkSession, sf: str) -> DataFrame:
     """A written report, read again: every question by BM25, and a mode that has no index."""
     path = f"{snapshots.shared_root(spark)}/report-{uuid.uuid4().hex}"
     examples = views.questions(spark, sf).withColumn("category", F.when(F.length("question") > 200, "long").otherwise("short"))
-    evaluation.write_report(path, examples, retrieval.gold(spark, sf), {"bm25": retrieval._bm25(spark, sf, retrieval.K), "dense": "no vectors are indexed"}, ["query_id", "question"])
+    gold = snapshots.written(retrieval.gold(spark, sf), "gold")
+    evaluation.write_report(path, examples, gold, {"bm25": retrieval._bm25(spark, sf, retrieval.K), "dense": "no vectors are indexed"}, ["query_id", "question"])
     done, found = evaluation.read_report(spark, path)
     both = done.select("mode", "status", "dataset_sha256", "sample_count", "relevance_sample_count", F.round("mrr", 6).alias("mean_mrr")).join(
         found.select("mode", "query_id", "category", F.array_join("ranked_ids", ",").alias("ranked_ids"), F.round("mrr", 6).alias("mrr"), F.round("recall_10", 6).alias("recall_10"), "empty_retrieval"), "mode", "left")

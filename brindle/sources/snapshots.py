@@ -36,6 +36,13 @@ def shared_root(spark: SparkSession) -> str:
     return (set_ or _OWN[app]).rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table under the shared folder: a small result of much work that is read more than once."""
+    spark, path = df.sparkSession, f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -13,6 +13,8 @@ from brindle.functions.text import MISSING_FORMULA, strip
 
 #: Fixed value: what counts as a number.
 NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]{1,3})?$"
+#: Fixed value: digits that any decimal(38, 10) holds as they are; all else is looked at closely.
+DIGITS = r"^[0-9]{1,28}(?:\.[0-9]{1,10})?\z"
 SCALE = 10
 DECIMAL = f"decimal(38,{SCALE})"
 
@@ -31,11 +33,15 @@ def clean(cell: Column) -> Column:
 def decimal(cell: Column) -> Column:
     """The number, null where number_error() says why not."""
     t = strip(cell)
-    return F.when(number_error(cell).isNull(), t.try_cast(DECIMAL))
+    return F.when(cell.rlike(DIGITS), cell.try_cast(DECIMAL)).when(_error(cell).isNull(), t.try_cast(DECIMAL))
 
 
 def number_error(cell: Column) -> Column:
     """missing, blank, not a number, or out of range (of decimal(38, 10): nothing is rounded)."""
+    return F.when(F.coalesce(~cell.rlike(DIGITS), F.lit(True)), _error(cell))
+
+
+def _error(cell: Column) -> Column:
     t = strip(cell)
     plain = t.rlike(NUMBER)
     fraction = F.length(F.regexp_extract(t, r"\.([0-9]*?)0*(?:[eE]|$)", 1))

@@ -128,7 +128,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                for doc, ids in zip(part.column(0).to_pylist(), enc.ids_of(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), enc.ids_of(part.column(1)), strict=True):
                     group.append((doc, ids + end))
                     size += len(ids) // 4 + 1
                     if size >= GROUP_TOKENS or len(group) >= GROUP_DOCS:

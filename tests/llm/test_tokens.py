@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from brindle.llm.chunks import opened
+from brindle.llm.chunks import Chunks, opened
 from brindle.llm.packing import differencing, packed, windows
 from brindle.llm.tables import ship
 from brindle.llm.token_counts import _count, token_counts
@@ -58,3 +59,17 @@ def test_many_empty_texts(spark):
     got = packed(spark.range(70_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, NULL, '') AS text").coalesce(1), TOKENIZER)
     rows = got.groupBy("sequence_id").sum("length").collect()
     assert sum(r[1] for r in rows) == 70_000 and max(r[1] for r in rows) <= 4096 and len(rows) <= 18
+
+
+def test_words_come_to_the_model_once():
+    """Whatever their case and the signs behind them, over calls; texts may be a slice of an Arrow array."""
+    enc, seen = Chunks(TOKENIZER), []
+    make = enc.cores.make
+    enc.cores.make = lambda words: seen.extend(words) or make(words)
+    texts = ["skipped", "Word word. WORD,&&& x\tword\nx$$$ été Été! don't 'tis a<|endoftext|>b$ " + "q" * 100, None, "", "word#? \r q " + "Q" * 100]
+    t = Tokenizer.from_file(TOKENIZER)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+    for given in (pa.array(texts).slice(1), texts[1:]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids_of(given)] == want
+    assert sorted(seen) == ["q", "word", "x", "été"]
+    assert enc.ids_of([]) == [] and enc.ids_of([None]) == [b""]

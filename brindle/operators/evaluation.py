@@ -35,7 +35,7 @@ def details(examples: DataFrame, gold: DataFrame, ranked: DataFrame) -> DataFram
 
 
 def write_report(path: str, examples: DataFrame, gold: DataFrame, runs: dict[str, DataFrame | str], columns: list[str], depth: int = 10) -> None:
-    """Writes {path}/examples (JSON lines, a folder a mode) and {path}/runs (one line a mode: status, reason, counts, means, dataset_sha256). runs: rankings by mode, or
+    """Writes {path}/rankings (Parquet), {path}/examples (JSON lines, a folder a mode each) and {path}/runs (one line a mode: status, reason, counts, means, dataset_sha256). runs: rankings by mode, or
     why a mode is unavailable. Gold that is no example's is left out; without examples, or with a depth below 10, nothing is written. The runs are written last, from
     what was written, so a report without them is unfinished."""
     if depth < 10 or not examples.limit(1).count():
@@ -47,7 +47,9 @@ def write_report(path: str, examples: DataFrame, gold: DataFrame, runs: dict[str
         if isinstance(found, str):
             part = digest.select(F.lit(mode).alias("mode"), F.lit("unavailable").alias("status"), F.lit(found).alias("reason"), "dataset_sha256")
         else:
-            rows = details(examples, known, found.where(F.col("rank") <= depth))
+            found = found.where(F.col("rank") <= depth)
+            found.write.mode("overwrite").parquet(f"{path}/rankings/mode={mode}")  # details() reads it twice
+            rows = details(examples, known, spark.read.schema(found.schema).parquet(f"{path}/rankings/mode={mode}"))
             rows.write.mode("overwrite").json(f"{path}/examples/mode={mode}")
             read = spark.read.schema(rows.schema).json(f"{path}/examples/mode={mode}")
             n = F.count("mrr")

@@ -52,6 +52,20 @@ def test_report_is_written_and_its_digest_is_of_the_rows(spark, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def test_a_report_searches_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ranked = spark.createDataFrame([(1, "c", 1.0, 1), (1, "a", 0.5, 2), (2, "a", 0.5, 1)], "query_id long, chunk_id string, score double, rank int")
+    ex = spark.createDataFrame([(1, "one", "x"), (2, "two", "y")], "query_id long, question string, category string")
+    evaluation.write_report(str(tmp_path), ex, spark.createDataFrame([(1, "a")], "query_id long, chunk_id string"), {"bm25": ranked.mapInArrow(counted, ranked.schema)}, ["query_id"])
+    assert seen.value == 3 and evaluation.read_report(spark, str(tmp_path))[0].first()["mrr"] == 0.5
+
+
 def test_requests_break_one_rule_each(spark):
     good = (" q ", 5, "a_b-1", "auto", ["d"], 1, "s", "text")
     broken = {"blank": (0, "　\n"), "length": (0, "x" * 8001), "k": (1, 21), "collection": (2, "../x"), "mode": (3, "fast"), "documents": (4, ["d"] * 101), "page": (5, 0), "section": (6, "s" * 201), "content_type": (7, "video")}
